@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, rollups, tokens
+from millrace.llm import jaccard, mixing, quality, rollups, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,10 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.id_file_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches: every document arrives; every seventh is deleted; every fifth of the rest
     gets its text replaced by its second half. The second batch is sent twice."""
@@ -56,6 +60,11 @@ FROM v GROUP BY source, lang, tokenizer
 """
 
 
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -63,7 +72,9 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_id_files": op2_token_id_files,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_count_rollup": op5_token_count_rollup,
+    "op6_quality_scores": op6_quality_scores,
     "op10_pack_sequences": op10_pack_sequences,
 }
 ORACLES = {"op5_token_count_rollup": OP5_SQL}
