@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, mixing, quality, rollups, tokens
+from millrace.llm import jaccard, mixing, quality, rollups, sampling, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,6 +65,10 @@ def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_count_rollup": op5_token_count_rollup,
     "op6_quality_scores": op6_quality_scores,
+    "op8_weighted_sampling": op8_weighted_sampling,
     "op10_pack_sequences": op10_pack_sequences,
 }
 ORACLES = {"op5_token_count_rollup": OP5_SQL}
