@@ -44,3 +44,33 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
     if before[0]:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def link_report(rows: DataFrame, classes: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """Ends a join whose tasks gave link counts and forests.
+
+    rows: id, node (null: links with nothing); classes: node, first_id, copies; found:
+    (a = node, b = null, links) and (a, b) edges. Gives id, component_id, n_links,
+    first_id (of the row's class).
+    """
+    links = found.filter("b is null").groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
+    joined = components(found.filter("b is not null").select("a", "b"), f"{tag}-linked")
+    info = (
+        classes.select("node", "first_id", "copies")
+        .join(links, F.col("node") == F.col("_l"), "left")
+        .join(joined.select(F.col("node").alias("_r"), "root"), F.col("node") == F.col("_r"), "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    least = info.groupBy(F.col("root").alias("_root")).agg(F.min("first_id").alias("component_id"))
+    info = stored(
+        info.join(least, F.col("root") == F.col("_root")).select(
+            F.col("node").alias("_node"), "first_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        ),
+        f"{tag}-info",
+    )
+    return rows.join(info, F.col("node") == F.col("_node"), "left").select(
+        "id",
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("first_id", "id").alias("first_id"),
+    )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import arrays
-from millrace.llm.components import components
+from millrace.llm.components import components, link_report
 from millrace.session import shuffle_partitions, stored
 
 #: Rows up to which a table of two or three integers is broadcast (about 10 MB).
@@ -249,25 +249,16 @@ def near_duplicates(
         "text",
     ).select("comp", F.least("block", "_j").alias("bi"), F.greatest("block", "_j").alias("bj"), "node", "block", "copies", "text")
     found = stored(verified(pairs, n, threshold), f"{tag}-links")
-    links = found.filter("b is null").groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
-    joined = components(found.filter("b is not null").select("a", "b"), f"{tag}-linked")
-    info = (
-        classes.select("node", "first_doc", "copies")
-        .join(links, F.col("node") == F.col("_l"), "left")
-        .join(joined.select(F.col("node").alias("_r"), "root"), F.col("node") == F.col("_r"), "left")
-        .withColumn("root", F.coalesce("root", "node"))
+    report = link_report(
+        signed.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")),
+        classes.withColumnRenamed("first_doc", "first_id"),
+        found,
+        tag,
     )
-    least = info.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("class_id"))
-    info = stored(
-        info.join(least, F.col("root") == F.col("_root")).select(
-            F.col("node").alias("_node"), "first_doc", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-        ),
-        f"{tag}-info",
-    )
-    return signed.join(info, F.col("node") == F.col("_node"), "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("first_doc", "doc_id").alias("text_class_id"),
-        F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    return report.select(
+        F.col("id").alias("doc_id"),
+        F.col("component_id").alias("class_id"),
+        "n_links",
+        F.col("first_id").alias("text_class_id"),
+        F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
     )

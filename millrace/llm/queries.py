@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, mixing, quality, rollups, sampling, tokens
+from millrace.llm import jaccard, mixing, quality, rollups, sampling, tokens, vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,6 +69,10 @@ def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_token_count_rollup": op5_token_count_rollup,
     "op6_quality_scores": op6_quality_scores,
     "op8_weighted_sampling": op8_weighted_sampling,
+    "op9_vector_near_duplicates": op9_vector_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
 }
 ORACLES = {"op5_token_count_rollup": OP5_SQL}
