@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, mixing, quality, rollups, sampling, tokens, vectors
+from millrace.llm import jaccard, mixing, quality, rollups, sampling, suffix_trees, tokens, vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,10 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.id_file_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +84,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_id_files": op2_token_id_files,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_count_rollup": op5_token_count_rollup,
     "op6_quality_scores": op6_quality_scores,
