@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, mixing, quality, rollups, sampling, suffix_trees, tokens, vectors
+from millrace.llm import jaccard, mixing, quality, rollups, sampling, suffix_arrays, suffix_trees, tokens, vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,6 +69,10 @@ def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.repeated_byte_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_count_rollup": op5_token_count_rollup,
     "op6_quality_scores": op6_quality_scores,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_vector_near_duplicates": op9_vector_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
