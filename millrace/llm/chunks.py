@@ -35,7 +35,7 @@ def opened(data: bytes) -> bytes:
 def chunk_table(docs: DataFrame, tag: str, keep: tuple[str, ...] = (), most: int = 1 << 21) -> DataFrame:
     """Packs doc_id, text and the columns in ``keep`` (as ``rest``) into chunks of about ``most`` bytes."""
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    plain = docs.select(F.col("doc_id").cast("long"), "text", *[f"`{k}`" for k in keep])
     rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in plain.schema[2:])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

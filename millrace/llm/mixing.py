@@ -19,9 +19,14 @@ and clashing ones are kept out by the projection.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import arrays
+from millrace.llm.jaccard import small
 from millrace.session import stored
 
 #: What counts as a word, and the repeating weights of sources in order.
@@ -111,13 +116,14 @@ def mix_plan(
     share: float = 1.5,
     most: float = 2.0,
     weights: tuple[int, ...] = WEIGHTS,
-    block_words: int = 16,
+    block_words: int = 64,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """For every document: size, its source's size and target, where it lies in its shard
     (``start``), and the shard's ``words``, ``blocks``, ``seats``, ``step``, ``shift``.
 
-    Block i of a shard covers words [i * words // blocks, (i + 1) * words // blocks).
+    Columns in ``carry`` come along, named ``__<column>``. Block i of a shard covers words [i * words // blocks, (i + 1) * words // blocks).
     """
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     shards = F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long")
@@ -127,9 +133,10 @@ def mix_plan(
         ),
         "mix-sources",
     )
-    placed = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "_shards")
-    )
+    place = lambda rows: rows.join(
+        small(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))
+    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "_shards"))
+    placed = place(sized)
     cut = placed.groupBy("_source", "shard").agg(F.sum("size").alias("words")).withColumn(
         "blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block_words))).otherwise(0).cast("long")
     )
@@ -162,10 +169,13 @@ def mix_plan(
     )
     quotas = stored(quotas, "mix-quotas")
     before = Window.partitionBy("_source", "shard").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    if carry:
+        extra = [F.col(f"`{c}`").alias(f"__{c}") for c in carry]
+        placed = place(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra))
     return (
         placed.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .join(quotas, F.col("_source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qh")))
-        .select("doc_id", "source", "size", "source_size", "target", "shard", "start", "words", "blocks", "seats", "step", "shift")
+        .join(small(quotas), F.col("_source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qh")))
+        .select("doc_id", "source", "size", "source_size", "target", "shard", "start", "words", "blocks", "seats", "step", "shift", *[f"`__{c}`" for c in carry])
     )
 
 
@@ -198,3 +208,36 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     return mix_plan(docs, **options).select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard"
     )
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document once with the words that are taken
+    at least once, again with those taken at least twice, and so on; runs of taken blocks keep
+    their white space and are set apart by a line break. Documents of which nothing is taken go."""
+    columns = docs.columns
+    plan = mix_plan(docs, carry=tuple(columns), **options).select(*[f"`__{c}`" for c in columns], block_pieces().alias("pieces"))
+    plan = plan.filter(F.exists("pieces", lambda p: p["times"] > 0))
+    text = columns.index("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.pieces(batches, "__text"):
+            data, offsets = arrays.text_bytes(batch.column(text))
+            starts, ends, cut = arrays.words(data, offsets)
+            data, rows, texts = data.tobytes(), [], []
+            for i, own in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for copy in range(1, max(p["times"] for p in own) + 1):
+                    spans: list[list[int]] = []
+                    for p in own:
+                        if p["times"] >= copy:
+                            if spans and spans[-1][1] == p["lo"]:
+                                spans[-1][1] = p["hi"]
+                            else:
+                                spans.append([p["lo"], p["hi"]])
+                    rows.append(i)
+                    texts.append(b"\n".join(data[starts[cut[i] + a] : ends[cut[i] + b - 1]] for a, b in spans))
+            taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            taken[text] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(taken, names=columns)
+
+    return plan.mapInArrow(cut_out, fields)

@@ -200,18 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_char
     return fitted(number, value, cut, label, width(metadata), rank)
 
 
-def scored(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """``docs`` with a column ``score``; the model (some MB, fixed) is broadcast."""
+def scored(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_chars",), out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` (in place of one of that name); the model (some MB, fixed) is broadcast."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    keep = [c for c in docs.columns if c != "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    keep = [c for c in docs.columns if c != out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces(batches):
             s = model.value.score(*features(batch, metadata))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.float64))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.float64))], names=[*keep, out])
 
-    return docs.select(*keep).mapInArrow(score, f"{schema}, score double")
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(score, f"{schema}, `{out}` double")
 
 
 def held_out() -> F.Column:

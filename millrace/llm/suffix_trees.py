@@ -273,19 +273,25 @@ def substring_digests(docs: DataFrame, window: int = 13, gram: int = 5, tag: str
 
 
 def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = 13, gram: int = 5, tag: str = "substrings") -> DataFrame:
-    """doc_id, text (kept words joined by one space where words go, else as it was), the columns in ``keep``."""
+    """doc_id, text (without the removed words and the white space after each), the columns in ``keep``."""
     chunks, found = repeats(docs, window, gram, tag, keep)
-    fields = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema} if keep else {}
+    fields = {f.name: f.dataType.simpleString() for f in docs.select(*[f"`{k}`" for k in keep]).schema} if keep else {}
     schema = ", ".join(["doc_id long", "text string", *[f"`{n}` {t}" for n, t in fields.items()]])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
             s = Suffixes(c, window, gram)
             gone = removed_words(c, s)
-            texts = kept_texts(c, s, ~gone)
-            whole = c.data.tobytes()
-            for i in np.flatnonzero(_per_doc(gone, s.cut) == 0):
-                texts[i] = whole[c.offsets[i] : c.offsets[i + 1]]
+            lost = np.zeros(len(c.data) + 1, np.int32)
+            after = np.append(s.starts[1:], len(c.data)) if len(s.starts) else s.starts
+            last = s.cut[1:][np.diff(s.cut) > 0] - 1
+            after[last] = c.offsets[1:][np.diff(s.cut) > 0]
+            np.add.at(lost, s.starts[gone], 1)
+            np.add.at(lost, after[gone], -1)
+            stays = np.cumsum(lost[:-1]) == 0
+            left = c.data[stays].tobytes()
+            cut = np.concatenate(([0], np.cumsum(stays)))[c.offsets].tolist()
+            texts = [left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
             text = pa.array(texts, pa.binary()).cast(pa.string())
             rest = [c.rest.field(n) for n in fields] if fields else []
             yield pa.RecordBatch.from_arrays([c.ids, text, *rest], names=["doc_id", "text", *fields])
