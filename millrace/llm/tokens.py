@@ -2,9 +2,8 @@
 
 ``encoded`` gives the ids of every text with the ``tokenizers`` library. A byte-level
 BPE splits a text before it merges, and a space between two visible characters always
-starts a new piece; so distinct space-separated words are encoded once for each
-worker, joined by the end-of-text token, and looked up afterwards. Texts with other
-white space next to a space take the same route over a slower, exact split.
+starts a new piece; so texts are cut there, distinct words are encoded once for each
+worker (told apart by 64-bit hashes) and looked up afterwards.
 
 File format (little-endian), one file for a range of doc_id:
 ``MRTOK1\\0\\0``; for each chunk of ``chunk_ids`` ids its planes, each a zstandard frame;
@@ -17,12 +16,12 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,98 +32,118 @@ from millrace.llm import arrays
 from millrace.session import scratch, shuffle_partitions, stored
 
 MAGIC = b"MRTOK1\0\0"
-SEPARATOR = "<|endoftext|>"
-SEPARATOR_ID = 50256
-_SPLIT = re.compile(r"(?<=\S)(?= \S)")
-_BESIDE = re.compile(r"\s\0|\0\s")
+#: Fixed value: how a byte-level tokenizer splits a text before it merges.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-class _Slots(dict):
-    """Numbers new keys as they are looked up and keeps them in ``fresh``."""
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes each byte: visible Latin-1 characters as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
+LETTERS = _byte_letters()
+#: Leading bytes of the UTF-8 forms of white space outside ASCII.
+WIDE_SPACE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+NEAR_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+
+
+def cut_at_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of all texts: at a text's start, and at a space between two characters that
+    are certainly not white space."""
+    n = len(data)
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 0) & (at < n - 1)]
+    after = data[at + 1]
+    fine = ~NEAR_SPACE[data[at - 1]] & ~NEAR_SPACE[after] & ~WIDE_SPACE[after]
+    fine &= (data[at - 1] < 0x80) | ~(WIDE_SPACE[data[np.maximum(at - 2, 0)]] | WIDE_SPACE[data[np.maximum(at - 3, 0)]])
+    mark = np.zeros(n, bool)
+    mark[at[fine]] = True
+    first = offsets[:-1][np.diff(offsets) > 0]
+    mark[first[first > 0] - 1] = False  # a text's last character has nothing after it
+    mark[first] = True
+    return np.flatnonzero(mark)
 
 
 class Encoder:
-    """Encodes batches of texts; keeps up to ``most`` distinct words with their ids."""
+    """Encodes batches of texts; remembers ids of up to ``most`` distinct words by 64-bit hash."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.most = most
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.slots = _Slots()
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, words: list[str], n: int) -> None:
-        """Encodes words (numbered n, n + 1, ...) in one call, or singly if one holds the separator."""
-        plain = [w for w in words if "<|" not in w]
-        ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(ids == SEPARATOR_ID)
-        starts = np.concatenate(([0], cuts + 1)) if plain else np.zeros(0, np.int64)
-        lengths = np.concatenate((cuts, [len(ids)])) - starts if plain else starts
-        flat = ids
-        if len(plain) < len(words):
-            odd = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w for w in words if "<|" in w], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in odd], np.int64)
-            is_odd = np.array(["<|" in w for w in words])
-            s, le = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-            s[~is_odd], le[~is_odd] = starts, lengths
-            s[is_odd], le[is_odd] = len(ids) + np.cumsum(sizes) - sizes, sizes
-            starts, lengths, flat = s, le, np.concatenate([ids, *odd])
+        self.first, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of the words one after another, and how many each has.
+
+        A word is split as the tokenizer splits it, and each piece goes to its BPE model;
+        words with letters beyond Latin or with a special token take its whole pipeline.
+        """
+        flat: list[int] = []
+        sizes: list[int] = []
+        for w in words:
+            before = len(flat)
+            if "<|" in w or not (w.isascii() or max(w) < "\u0250"):
+                flat += self.tokenizer.encode(w, add_special_tokens=False).ids
+            else:
+                for p in _PIECES.findall(w):
+                    ids = self.pieces.get(p)
+                    if ids is None:
+                        ids = tuple([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS))])
+                        if len(p) < 6 and len(self.pieces) < 200_000:
+                            self.pieces[p] = ids
+                    flat += ids
+            sizes.append(len(flat) - before)
+        return flat, sizes
+
+    def _learn(self, fresh: np.ndarray, words: list[str]) -> None:
+        flat, sizes = self._ids(words)
+        flat, sizes = np.array(flat, np.uint32), np.array(sizes, np.int64)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(words) > len(self.first):
+        while self.n + len(words) > len(self.first):
             self.first, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.length))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(words)], self.length[n : n + len(words)] = starts + self.used, lengths
+        own = slice(self.n, self.n + len(words))
+        self.first[own], self.length[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        at = np.searchsorted(self.known, fresh)
+        self.known = np.insert(self.known, at, fresh)
+        self.place = np.insert(self.place, at, np.arange(own.start, own.stop))
         self.used += len(flat)
+        self.n += len(words)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        if len(self.slots) > self.most:
+        data, offsets = arrays.text_bytes(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        if self.n > self.most:
             self.forget()
-        n, slots = len(self.slots), self.slots
-        parts, sizes = [], []
-        for text in texts:
-            if not text:
-                sizes.append(0)
-                continue
-            words = text.split(" ")
-            if min(map(len, words)) == 0 or _loose(words):
-                words = _SPLIT.split(text)
-            else:
-                words[1:] = [" " + w for w in words[1:]]
-            parts.append(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
-            sizes.append(len(words))
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if slots.fresh:
-            self._learn(slots.fresh, n)
-            slots.fresh = []
-        at = np.concatenate(parts)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.first[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
-        return ids, np.diff(edges)
-
-
-def _loose(words: list[str]) -> bool:
-    """Whether white space stands next to one of the spaces at which the text was split."""
-    return _BESIDE.search("\0".join(words)) is not None
+        starts = cut_at_spaces(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes, one, back = np.unique(arrays.spans_hash(arrays.BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool) if not self.n else self.known[np.minimum(at, self.n - 1)] != hashes
+        if new.any():
+            text, own = data.tobytes(), one[new]
+            self._learn(hashes[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            at = np.searchsorted(self.known, hashes)
+        word = self.place[at][back]
+        lengths = self.length[word]
+        ids = self.flat[arrays.ragged(self.first[word], lengths)]
+        cut = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets)]
+        return ids, np.diff(cut)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -140,8 +159,8 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each batch: itself, ids of its texts one after another (each with ``end_id``), offsets."""
     enc = encoder(path)
-    for batch in arrays.pieces(batches):
-        ids, sizes = enc.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
+    for batch in arrays.pieces(batches, most=1 << 22):
+        ids, sizes = enc.encode(batch.column(batch.schema.get_field_index("text")))
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
             sizes = sizes + 1
