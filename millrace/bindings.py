@@ -1,4 +1,878 @@
-"""Bindings of the driver's tables to the operators, with the same binding in DuckDB SQL."""
+"""Bindings of the driver's tables to the operators, each with the same binding in DuckDB SQL.
+
+Keys are the operator's ID and name. Bindings B1 to B10 say which columns play a
+posting's or a tracker's part.
+"""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace import rules
+from millrace.functions import dates, keys, text, urls
+from millrace.operators import filters, joins, ordered, prune, scoring, stats, tracker
+from millrace.schemas import TRACKER_TYPES, with_columns_of
+from millrace.sources import files, lists, normalize, sinks
+from millrace.streaming import alerts
+
+NOW = "2024-06-01T00:00:00+00:00"
+TODAY = datetime.date(1998, 6, 15)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and, if given, its SQL."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+# --- B1: documents as postings ------------------------------------------------------
+
+
+def b1(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary"),
+        F.lit("").alias("url"), F.col("text").alias("description"), F.col("lang").alias("source"), F.col("doc_id").alias("ord"),
+    )
+
+
+B1 = """b1 AS (SELECT split_part(text, chr(10), 1) AS title, source AS company, '' AS location, '' AS url,
+  text AS description, lang AS source, doc_id AS ord FROM documents)"""
+KEYED = B1 + """, keyed AS (SELECT *, lower(title || '|' || company) AS k,
+  substring(sha256(lower(regexp_replace(title || '|' || company, '^\\s+|\\s+$', '', 'g'))), 1, 16) AS fp FROM b1)"""
+SMALL_RULES = {"shout": [r"!!"], "cells": [r" \| "], "marks": [r"[%$&#*]{3}"], "_note": ["never read"]}
+
+
+@query("f3_fingerprint", f"WITH {KEYED} SELECT ord, fp FROM keyed")
+def _(spark, d):
+    return joins.with_fingerprint(b1(spark, d)).select("ord", "fp")
+
+
+@query(
+    "f4_f5_row_and_dedupe_keys",
+    f"WITH {B1} SELECT ord, lower(title || '|' || company) AS dedupe_key, lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g') || '|' || company) AS row_key FROM b1",
+)
+def _(spark, d):
+    c = [F.col(x) for x in ("url", "title", "company")]
+    return b1(spark, d).select("ord", keys.dedupe_key(*c).alias("dedupe_key"), keys.row_key(*c).alias("row_key"))
+
+
+@query("g1_dedupe", f"WITH {KEYED} SELECT min(ord) AS ord, company FROM keyed GROUP BY k, company")
+def _(spark, d):
+    return ordered.dedupe(b1(spark, d)).select("ord", "company")
+
+
+@query(
+    "p1_keyword_prefilter",
+    f"""WITH {B1}, t AS (SELECT *, lower(title || ' ' || description) AS x FROM b1)
+SELECT ord, company FROM t WHERE NOT regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}_])was\\s+the($|[^\\p{{L}}\\p{{N}}_])')
+AND regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}_])(the|la|der)($|[^\\p{{L}}\\p{{N}}_])') AND regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}_])of($|[^\\p{{L}}\\p{{N}}_])')""",
+)
+def _(spark, d):
+    return filters.keyword_prefilter(b1(spark, d), include=["the", "la", "der"], require=["of"], exclude=["was the"]).select("ord", "company")
+
+
+GATED = f"""{B1}, gated AS (SELECT *, CASE WHEN contains(lower(source), 'es') THEN 'source' WHEN regexp_matches(title, '!!') THEN 'shout'
+  WHEN regexp_matches(title, ' \\| ') THEN 'cells' WHEN regexp_matches(title, '[%$&#*]{{3}}') THEN 'marks' END AS rule FROM b1)"""
+
+
+def gated(spark, d) -> DataFrame:
+    return filters.gate(b1(spark, d), filters.GateRules(blocked_sources=["es"], title_reject=SMALL_RULES, location_allow=[], location_deny=[]))
+
+
+@query("p3_p4_p6_gate", f"WITH {GATED} SELECT ord, rule FROM gated")
+def _(spark, d):
+    return gated(spark, d).select("ord", F.col("gate.rule").alias("rule"))
+
+
+@query("a10_gate_rule_counts", f"WITH {GATED} SELECT rule, count(*) AS n FROM gated WHERE rule IS NOT NULL GROUP BY rule")
+def _(spark, d):
+    deduped = b1(spark, d)
+    kept = filters.gate(deduped, filters.GateRules(blocked_sources=["es"], title_reject=SMALL_RULES, location_allow=[], location_deny=[]))
+    return stats.gate_rule_counts(kept)
+
+
+@query(
+    "p4_gate_title_detail",
+    """SELECT p_partkey, regexp_extract(t, '(?i)\\bring\\b|\\bgear\\b', 0) AS detail FROM (SELECT p_partkey, p_type || ' ' || p_name AS t FROM part)
+WHERE regexp_matches(t, '(?i)\\bring\\b|\\bgear\\b')""",
+)
+def _(spark, d):
+    t = table(spark, d, "part").withColumn("title", F.concat_ws(" ", "p_type", "p_name"))
+    g = t.withColumn("gate", filters.gate_title(F.col("title"), {"metal": [r"\bring\b", r"\bgear\b"]}))
+    return g.filter("gate is not null").select("p_partkey", F.col("gate.detail").alias("detail"))
+
+
+@query("c9_run_summary", f"WITH {GATED} SELECT count(*) AS rows, count(*) FILTER (rule IS NULL) AS passed, count(rule) AS gated FROM gated")
+def _(spark, d):
+    return scoring.run_summary(gated(spark, d))
+
+
+@query(
+    "c8_gated_rows_output",
+    f"WITH {GATED} SELECT ord, 0 AS score, false AS suitable, 'gated: source (es)' AS concerns FROM gated WHERE rule = 'source'",
+)
+def _(spark, d):
+    return scoring.gated_rows_output(gated(spark, d), NOW).filter("gate.rule = 'source'").select("ord", "score", "suitable", "concerns")
+
+
+@query(
+    "a8_progress",
+    f"""WITH {KEYED}, g AS (SELECT *, regexp_matches(title, '!!') OR regexp_matches(title, ' \\| ') AS bad FROM keyed),
+f AS (SELECT fp, count(*) AS rows, bool_or(bad) AS bad FROM g GROUP BY fp),
+s AS (SELECT DISTINCT fp FROM g WHERE ord % 3 = 0), m AS (SELECT DISTINCT fp FROM g WHERE ord % 9 = 0),
+x AS (SELECT f.*, s.fp IS NOT NULL AS seen, m.fp IS NOT NULL AS matched FROM f LEFT JOIN s USING (fp) LEFT JOIN m USING (fp)),
+o AS (SELECT CAST(sum(rows) AS BIGINT) AS total, count(*) FILTER (seen) AS scored, count(*) FILTER (NOT seen) AS remaining,
+  count(*) FILTER (matched) AS scrape_matches, count(*) FILTER (NOT seen AND bad) AS gated_ahead FROM x)
+SELECT *, scored - scrape_matches AS scrape_no_match, CASE WHEN remaining = 0 THEN 'last scrape' ELSE 'this scrape' END AS scrape_label,
+  (remaining - gated_ahead) * 75 AS eta_seconds FROM o""",
+)
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    gate_rules = filters.GateRules(blocked_sources=[], title_reject={"shout": ["!!"], "cells": [r" \| "]}, location_allow=[], location_deny=[])
+    return stats.progress(p, p.filter("ord % 3 = 0"), p.filter("ord % 9 = 0"), gate_rules)
+
+
+@query(
+    "j3_u3_scrape_matches",
+    f"WITH {KEYED} SELECT count(*) AS scrape_matches FROM (SELECT fp FROM keyed WHERE ord % 2 = 0 INTERSECT SELECT fp FROM keyed WHERE ord % 3 = 0)",
+)
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    return joins.scrape_matches(p.filter("ord % 2 = 0"), p.filter("ord % 3 = 0"))
+
+
+@query(
+    "j1_new_postings",
+    f"WITH {KEYED} SELECT ord, fp FROM keyed WHERE fp NOT IN (SELECT fp FROM keyed WHERE ord % 4 = 0)",
+)
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    return joins.new_postings(p, p.filter("ord % 4 = 0").select("fp")).select("ord", "fp")
+
+
+@query(
+    "a7_unscored_by_company",
+    f"""WITH {KEYED}, u AS (SELECT fp, company FROM keyed WHERE fp NOT IN (SELECT fp FROM keyed WHERE ord % 4 = 0) GROUP BY fp, company)
+SELECT company, count(*) AS n FROM u GROUP BY company ORDER BY n DESC, company LIMIT 15""",
+)
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    return stats.unscored_by_company(p, p.filter("ord % 4 = 0").select("fp").distinct())
+
+
+@query(
+    "a9_company_detail",
+    f"""WITH {KEYED}, c AS (SELECT * FROM keyed WHERE contains(lower(company), 'src1')), s AS (SELECT DISTINCT fp FROM keyed WHERE ord % 3 = 0)
+SELECT (SELECT count(*) FROM c) AS postings, (SELECT count(DISTINCT c.fp) FROM c JOIN s USING (fp)) AS scored,
+  (SELECT count(*) FROM c WHERE ord % 5 = 0) AS matches, (SELECT CAST(max(ord % 11) AS INT) FROM c WHERE ord % 5 = 0) AS best_score""",
+)
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    m = p.filter("ord % 5 = 0").withColumn("score", (F.col("ord") % 11).cast("int"))
+    return stats.company_detail(p, p.filter("ord % 3 = 0"), m, "SRC1")
+
+
+@query(
+    "a5_source_breakdown",
+    """WITH g AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'watchlist (' || lang || ')' ELSE source END AS source FROM documents),
+c AS (SELECT source, count(*) AS n FROM g GROUP BY source), t AS (SELECT sum(n) AS t FROM c)
+SELECT source, n, CAST(round_even(100.0 * n / t, 0) AS INT) AS pct FROM c, t""",
+)
+def _(spark, d):
+    t = table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit(":"), "source")).otherwise(F.col("source")).alias("source"))
+    return stats.source_breakdown(t)
+
+
+@query(
+    "n5_hn_fields",
+    f"""WITH {B1}, p AS (SELECT ord, title, list_transform(string_split(title, '|'), lambda x: trim(x)) AS parts FROM b1)
+SELECT ord, CASE WHEN len(parts) >= 2 THEN parts[2][1:150] ELSE title[1:120] END AS title, CASE WHEN len(parts) >= 2 THEN parts[1][1:100] ELSE '' END AS company,
+CASE WHEN len(parts) >= 2 THEN COALESCE(parts[3], '')[1:100] ELSE '' END AS location FROM p""",
+)
+def _(spark, d):
+    return b1(spark, d).select("ord", normalize.hn_fields(F.col("title")).alias("f")).select("ord", "f.*")
+
+
+# --- B3: suppliers' places -----------------------------------------------------------
+
+B3 = "b3 AS (SELECT s_suppkey, n_name || '; ' || r_name AS location, s_name AS company FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def b3(spark, d) -> DataFrame:
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("s_suppkey", F.concat_ws("; ", "n_name", "r_name").alias("location"), F.col("s_name").alias("company"))
+
+
+@query(
+    "p2_location_prefilter",
+    f"""WITH {B3}, p AS (SELECT s_suppkey, location, unnest(list_transform(string_split(lower(location), ';'), lambda x: trim(x))) AS place FROM b3)
+SELECT DISTINCT s_suppkey, location FROM p WHERE regexp_matches(place, '\\b(asia|nation_1|nation_7|europe)\\b') AND NOT regexp_matches(place, '\\b(europe|nation_7)\\b')""",
+)
+def _(spark, d):
+    return filters.location_prefilter(b3(spark, d), ["asia", "nation_1", "nation_7", "europe"], ["europe", "nation_7"]).select("s_suppkey", "location")
+
+
+@query("f27_split_places", f"WITH {B3} SELECT s_suppkey, unnest(list_transform(string_split(lower(location), ';'), lambda x: trim(x))) AS place FROM b3")
+def _(spark, d):
+    return b3(spark, d).select("s_suppkey", F.explode(text.split_places(F.col("location"))).alias("place"))
+
+
+@query(
+    "p5_gate_location",
+    f"""WITH {B3} SELECT s_suppkey, regexp_extract(location, '(?i)\\bamerica\\b|\\bnation_(1|2)\\b', 0) AS detail FROM b3
+WHERE regexp_matches(location, '(?i)\\bamerica\\b|\\bnation_(1|2)\\b') AND NOT regexp_matches(location, '(?i)\\bnation_1\\b')""",
+)
+def _(spark, d):
+    g = b3(spark, d).withColumn("gate", filters.gate_location(F.col("location"), [r"\bnation_1\b"], [r"\bamerica\b", r"\bnation_(1|2)\b"]))
+    return g.filter("gate is not null").select("s_suppkey", F.col("gate.detail").alias("detail"))
+
+
+@query("a6_location_breakdown", f"WITH {B3} SELECT left(location, 35) AS location, count(*) AS n FROM b3 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")
+def _(spark, d):
+    return stats.location_breakdown(b3(spark, d), 15)
+
+
+# --- B4: orders as tracker -------------------------------------------------------------
+
+
+def b4(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select(
+        F.concat(F.lit("k"), k.cast("string")).alias("key"), F.concat(F.lit("Order "), (k % 97).cast("string")).alias("title"),
+        F.col("o_orderpriority").alias("company"), F.concat(F.lit("place "), (k % 13).cast("string")).alias("location"), (k % 11).cast("int").alias("score"),
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("date_processed"),
+        F.when(k % 7 == 0, NOW).alias("deleted_at"), F.when(k % 7 == 0, F.when(k % 2 == 0, "prune").otherwise("user")).alias("deleted_reason"),
+        F.when(k % 5 == 0, "applied").alias("date_applied"), F.when(k % 17 == 0, "a_b%c").alias("notes"), F.col("o_orderstatus").alias("source"),
+    )
+    return with_columns_of(rows, TRACKER_TYPES)
+
+
+B4 = f"""b4 AS (SELECT 'k' || o_orderkey AS key, 'Order ' || (o_orderkey % 97) AS title, o_orderpriority AS company, 'place ' || (o_orderkey % 13) AS location,
+  CAST(o_orderkey % 11 AS INT) AS score, nullif(o_orderstatus, 'P') AS status, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS date_processed,
+  CASE WHEN o_orderkey % 7 = 0 THEN '{NOW}' END AS deleted_at, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'prune' ELSE 'user' END END AS deleted_reason,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'applied' END AS date_applied, CASE WHEN o_orderkey % 17 = 0 THEN 'a_b%c' END AS notes, o_orderstatus AS source, o_orderkey FROM orders)"""
+
+
+@query("a1_score_distribution", f"WITH {B4} SELECT score, count(*) AS n FROM b4 WHERE deleted_at IS NULL AND score IS NOT NULL GROUP BY score")
+def _(spark, d):
+    return stats.score_distribution(b4(spark, d))
+
+
+@query(
+    "a2_top_companies",
+    f"WITH {B4} SELECT company, count(*) AS n, avg(score) AS avg_score, max(score) AS max_score FROM b4 WHERE deleted_at IS NULL AND company <> '' GROUP BY company ORDER BY n DESC, avg_score DESC, company LIMIT 3",
+)
+def _(spark, d):
+    return stats.top_companies(b4(spark, d), 3)
+
+
+@query("a3_status_breakdown", f"WITH {B4} SELECT COALESCE(NULLIF(status, ''), 'Not started') AS status, count(*) AS n FROM b4 WHERE deleted_at IS NULL GROUP BY 1")
+def _(spark, d):
+    return stats.status_breakdown(b4(spark, d))
+
+
+@query("a4_tracker_counts", f"WITH {B4} SELECT count(*) AS total, count(*) FILTER (deleted_at IS NULL) AS live, count(deleted_at) AS deleted FROM b4")
+def _(spark, d):
+    return stats.tracker_counts(b4(spark, d))
+
+
+@query("a14_distinct_values", f"WITH {B4} SELECT DISTINCT company FROM b4 WHERE deleted_at IS NULL AND company <> ''")
+def _(spark, d):
+    return stats.distinct_values(b4(spark, d), "company")
+
+
+@query(
+    "p16_search",
+    f"WITH {B4} SELECT key, score FROM b4 WHERE deleted_at IS NULL AND (title ILIKE '%r 1_%' OR company ILIKE '%r 1_%' OR location ILIKE '%r 1_%' OR notes ILIKE '%r 1_%') AND score >= 4 AND status IS NULL",
+)
+def _(spark, d):
+    return tracker.search(b4(spark, d), q="R 1_", status="__none__", min_score=4).select("key", "score")
+
+
+@query("p16_search_archived", f"WITH {B4} SELECT key, status FROM b4 WHERE deleted_at IS NOT NULL AND company = '5-LOW' AND status = 'F'")
+def _(spark, d):
+    return tracker.search(b4(spark, d), company="5-LOW", status="F", archived=True, sort="company").select("key", "status")
+
+
+for _name, _sql in {
+    "date": "date_processed DESC NULLS LAST, score DESC NULLS LAST", "score": "score DESC NULLS LAST, date_processed DESC NULLS LAST",
+    "company": "lower(company) NULLS FIRST, score DESC NULLS LAST", "title": "lower(title) NULLS FIRST",
+    "status": "status IS NULL, lower(status) NULLS FIRST, score DESC NULLS LAST",
+}.items():
+
+    @query(f"o1_o2_sort_{_name}_limit", f"WITH {B4} SELECT key, score FROM b4 WHERE deleted_at IS NULL ORDER BY {_sql}, key LIMIT 40")
+    def _(spark, d, name=_name):
+        return tracker.search(b4(spark, d), sort=name, limit=40).select("key", "score")
+
+
+@query("g12_recent", f"WITH {B4} SELECT key, date_processed FROM b4 ORDER BY date_processed DESC NULLS LAST, score DESC NULLS LAST, key LIMIT 10")
+def _(spark, d):
+    return ordered.recent(b4(spark, d), 10).select("key", "date_processed")
+
+
+@query("p19_get_by_key", f"WITH {B4} SELECT key, title FROM b4 WHERE key = 'k101'")
+def _(spark, d):
+    return tracker.get_by_key(b4(spark, d), "k101").select("key", "title")
+
+
+@query(
+    "t2_update_user_fields",
+    f"""WITH {B4}, e AS (SELECT key, arg_max(v, ord) AS v FROM (SELECT 'k' || (event_id % 3000) AS key, event_type AS v, event_id AS ord FROM events) GROUP BY key)
+SELECT key, COALESCE(v, status) AS status, notes FROM b4 LEFT JOIN e USING (key)""",
+)
+def _(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 3000).cast("string")).alias("key"), F.col("event_type").alias("status"), F.col("event_id").alias("ord"))
+    return tracker.update_user_fields(b4(spark, d), e, NOW).select("key", "status", "notes")
+
+
+@query(
+    "t3_soft_delete",
+    f"""WITH {B4} SELECT key, CASE WHEN deleted_at IS NULL AND o_orderkey % 3 = 0 THEN 'review' ELSE deleted_reason END AS deleted_reason,
+CASE WHEN deleted_at IS NULL AND o_orderkey % 3 = 0 THEN 'later' ELSE deleted_at END AS deleted_at FROM b4""",
+)
+def _(spark, d):
+    t = b4(spark, d)
+    k = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"))
+    return tracker.soft_delete(t, k, "review", "later").select("key", "deleted_reason", "deleted_at")
+
+
+@query(
+    "t4_t7_undo_prune",
+    f"WITH {B4} SELECT key, CASE WHEN deleted_reason = 'prune' THEN NULL ELSE deleted_at END AS deleted_at, CASE WHEN deleted_reason = 'prune' THEN NULL ELSE deleted_reason END AS deleted_reason FROM b4",
+)
+def _(spark, d):
+    return tracker.undo_prune(b4(spark, d), "prune", NOW).select("key", "deleted_at", "deleted_reason")
+
+
+@query(
+    "j7_t8_archive_classify",
+    f"""WITH {B4}, k AS (SELECT 'k' || event_id AS key FROM events) SELECT k.key, CASE WHEN b4.key IS NULL THEN 'missing' WHEN deleted_at IS NOT NULL THEN 'already'
+WHEN COALESCE(trim(status), '') <> '' OR COALESCE(trim(date_applied), '') <> '' THEN 'engaged' ELSE 'to_archive' END AS outcome FROM k LEFT JOIN b4 USING (key)""",
+)
+def _(spark, d):
+    k = table(spark, d, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"))
+    return joins.archive_classify(k, b4(spark, d))
+
+
+@query(
+    "j2_insert_new",
+    f"""WITH {B4}, n AS (SELECT 'k' || (event_id * 2) AS key, min(event_id) AS ord, CAST(arg_min(event_id, event_id) % 11 AS INT) AS score FROM events GROUP BY 1)
+SELECT key, score FROM b4 UNION ALL SELECT key, score FROM n WHERE key NOT IN (SELECT key FROM b4)""",
+)
+def _(spark, d):
+    n = table(spark, d, "events").select(F.concat(F.lit("k"), (F.col("event_id") * 2).cast("string")).alias("key"), (F.col("event_id") % 11).cast("int").alias("score"), F.col("event_id").alias("ord"))
+    return joins.insert_new(b4(spark, d), n, NOW).select("key", "score")
+
+
+@query(
+    "s4_export_projection",
+    f"""WITH {B4} SELECT CAST(score AS VARCHAR) AS "Score", title AS "Job Title", company AS "Company", strftime(CAST(date_processed AS TIMESTAMP), '%b %-d') AS "Date Found",
+COALESCE(status, '') AS "Status", COALESCE(notes, '') AS "Notes" FROM b4 WHERE deleted_at IS NULL""",
+)
+def _(spark, d):
+    return sinks.export_projection(b4(spark, d)).select("Score", "Job Title", "Company", "Date Found", "Status", "Notes")
+
+
+@query(
+    "s7_g11_snapshot_retention",
+    """WITH s AS (SELECT DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS snapshot_date FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY snapshot_date DESC) AS rn FROM s)
+SELECT snapshot_date, rn > 14 AND snapshot_date <> '1996-01-01' AS "drop" FROM r""",
+)
+def _(spark, d):
+    months = table(spark, d, "orders").select(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd").alias("snapshot_date")).distinct()
+    return ordered.latest_snapshots(months, 14, ["1996-01-01"])
+
+
+@query("t6_prune_internships", f"WITH {B4} SELECT key FROM b4 WHERE deleted_at IS NULL AND title = 'Order 7' AND COALESCE(status, '') = '' AND COALESCE(date_applied, '') = ''")
+def _(spark, d):
+    t = b4(spark, d).withColumn("title", F.when(F.col("title") == "Order 7", "Summer Intern 7").otherwise(F.col("title")))
+    return tracker.prune_internships(t, NOW)[0]
+
+
+@query(
+    "j8_g7_g8_bootstrap_plan",
+    f"""WITH s AS (SELECT DISTINCT 'k' || (o_orderkey % 4000) AS key FROM orders WHERE o_orderkey % 2 = 0), l AS (SELECT DISTINCT 'k' || (event_id % 5000) AS key FROM events WHERE event_id % 3 = 0),
+p AS (SELECT DISTINCT 'k' || c_custkey AS key FROM customer) SELECT key, CASE WHEN s.key IS NOT NULL AND l.key IS NOT NULL THEN 'live-matched' WHEN s.key IS NOT NULL THEN 'live-inferred'
+WHEN l.key IS NOT NULL THEN 'import-csv' ELSE 'import-prune' END AS plan FROM s FULL JOIN l USING (key) FULL JOIN p USING (key)""",
+)
+def _(spark, d):
+    key = lambda c: F.concat(F.lit("k"), c.cast("string")).alias("key")
+    s = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(key(F.col("o_orderkey") % 4000), F.col("o_orderkey").alias("ord"))
+    ev = table(spark, d, "events").filter("event_id % 3 = 0").select(key(F.col("event_id") % 5000), F.col("event_id").alias("ord"))
+    return joins.bootstrap_plan(s, ev, table(spark, d, "customer").select(key(F.col("c_custkey"))))
+
+
+@query("u2_except_keys", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AND o_custkey NOT IN (SELECT user_id FROM events)")
+def _(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"))
+    return joins.except_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("key")), c, table(spark, d, "events").select(F.col("user_id").alias("key")))
+
+
+@query("g7_last_wins_by_key", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def _(spark, d):
+    return ordered.last_wins_by_key(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+# --- B2, B5: parts as scored postings ---------------------------------------------------
+
+
+def b5(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    skills = F.transform(F.slice(F.array(*[F.lit(f"s{i}") for i in range(5)]), F.lit(1), (k % 6).cast("int")), lambda x: x)
+    return table(spark, d, "part").select(
+        k.alias("k"), F.concat_ws(" ", "p_type", "p_name").alias("title"), F.col("p_brand").alias("company"), F.when(k % 2 == 0, "New York, NY").otherwise("Paris").alias("location"),
+        pick(rules.ROLE_FAMILIES).alias("role_family"), pick(rules.SENIORITIES).alias("seniority"), (k % 3).cast("int").alias("min_years_experience"),
+        pick(rules.START_TIMINGS).alias("start_timing"), (k % 29 == 0).alias("clearance_required"), (k % 31 == 0).alias("advanced_degree_required"),
+        skills.alias("matched_skills"), F.lit("").alias("evidence"),
+    )
+
+
+def _case(column: str, table_: dict, default: int = 0) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table_.items()) + f" ELSE {default} END"
+
+
+def _nth(words) -> str:
+    return "([" + ", ".join(f"'{w}'" for w in words) + f"])[p_partkey % {len(words)} + 1]"
+
+
+B5 = f"""b5 AS (SELECT p_partkey AS k, p_brand AS company, p_type || ' ' || p_name AS title, p_partkey % 2 = 0 AS ny, {_nth(rules.ROLE_FAMILIES)} AS fam, {_nth(rules.SENIORITIES)} AS sen, p_partkey % 3 AS yrs,
+  {_nth(rules.START_TIMINGS)} AS st, p_partkey % 29 = 0 AS clr, p_partkey % 31 = 0 AS deg, p_partkey % 6 AS sk FROM part),
+r5 AS (SELECT *, concat_ws('; ', CASE WHEN fam = 'non_technical' THEN 'non-technical role' END, CASE WHEN sen = 'senior_plus' THEN 'senior/staff-level role' END,
+  CASE WHEN sen = 'intern' THEN 'internship or temporary position' END, CASE WHEN yrs > 1 THEN 'requires ' || yrs || '+ years experience' END, CASE WHEN st = '2026_or_earlier' THEN 'starts 2026 or earlier' END,
+  CASE WHEN clr THEN 'active security clearance required' END, CASE WHEN deg THEN 'MS/PhD required' END) AS rej FROM b5),
+s5 AS (SELECT *, CAST(CASE WHEN rej <> '' THEN 1 ELSE least(10, greatest(0, {_case('fam', rules.FAMILY_BASE, 3)} + {_case('sen', rules.SENIORITY_DELTA)} + {_case('st', rules.START_DELTA)}
+  + CASE WHEN ny THEN 1 ELSE 0 END + CASE WHEN fam IN ('security', 'ml_ai') THEN 1 ELSE 0 END + CASE WHEN least(sk, 5) >= 3 THEN 1 ELSE 0 END)) END AS INT) AS score FROM r5)"""
+
+
+@query("c3_c4_c5_score", f"WITH {B5} SELECT k, score, score >= 7 AS suitable FROM s5")
+def _(spark, d):
+    return scoring.score(b5(spark, d)).select("k", "score", "suitable")
+
+
+@query(
+    "c6_c7_verdict_row",
+    f"""WITH {B5} SELECT k, CASE WHEN rej <> '' THEN rej ELSE concat_ws('; ', CASE WHEN sen = 'unclear' THEN 'level not stated in posting' END, CASE WHEN st = 'unclear' THEN 'start date not stated' END,
+CASE WHEN fam = 'other_technical' THEN 'technical but outside target role families' END) END AS concerns, fam || '/' || sen || ', ' || yrs || 'y exp, starts ' || st || '.' AS reason FROM s5""",
+)
+def _(spark, d):
+    return scoring.verdict_row(scoring.score(b5(spark, d)), NOW).select("k", "concerns", "reason")
+
+
+@query(
+    "c1_parse_classification",
+    "SELECT p_partkey AS k, p_partkey % 5 <> 0 AND p_size <= 15 AS ok FROM part",
+)
+def _(spark, d):
+    k = F.col("p_partkey")
+    made = table(spark, d, "part").select(
+        k.alias("k"),
+        F.to_json(
+            F.struct(
+                F.when(k % 5 == 0, "poet").otherwise("data").alias("role_family"), F.lit("junior").alias("seniority"), F.col("p_size").alias("min_years_experience"), F.lit("unclear").alias("start_timing"),
+                F.lit(False).alias("clearance_required"), F.lit(False).alias("advanced_degree_required"), F.array(F.lit("SQL")).alias("matched_skills"), F.lit("x").alias("evidence"),
+            )
+        ).alias("answer"),
+    )
+    good, bad = scoring.parse_classification(made, "answer")
+    return good.select("k", F.lit(True).alias("ok")).unionByName(bad.select("k", F.lit(False).alias("ok")))
+
+
+@query("c10_batch_health", "SELECT count(*) AS scored, count(*) FILTER (p_size > 20) AS errors, NOT (count(*) > 0 AND count(*) = count(*) FILTER (p_size > 20)) AS usable FROM part")
+def _(spark, d):
+    return scoring.batch_health(table(spark, d, "part").select((F.col("p_size") > 20).alias("failed")))
+
+
+TITLES = ["Security Engineer", "ML Engineer", "Backend Engineer", "Senior Security Engineer", "Sales Engineer"]
+
+
+def b2(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("k"), k.cast("string")).alias("key"), F.element_at(F.array(*map(F.lit, TITLES)), (k % 5 + 1).cast("int")).alias("title"), F.col("p_brand").alias("company"),
+        F.when(k % 3 == 0, "New York").when(k % 3 == 1, "Boston").otherwise("Oslo").alias("location"), (F.col("p_size") % 11).cast("int").alias("score"), F.when(k % 50 == 0, "keep").alias("notes"),
+    )
+    return with_columns_of(rows, TRACKER_TYPES)
+
+
+@query(
+    "g9_g10_plan_prunes",
+    """WITH r AS (SELECT 'k' || p_partkey AS key, p_partkey % 5 AS t, p_brand AS company, p_partkey % 3 AS l, p_size % 11 AS score FROM part WHERE p_partkey % 50 <> 0),
+e AS (SELECT *, CASE WHEN t = 3 THEN 'too senior' WHEN t = 4 THEN 'non-engineering' WHEN l = 2 THEN 'location' END AS why FROM r),
+k AS (SELECT key FROM (SELECT key, row_number() OVER (PARTITION BY company ORDER BY CASE t WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END, l, score DESC, key) AS rn FROM e WHERE why IS NULL) WHERE rn <= 2)
+SELECT key, COALESCE(why, 'over the limit') AS why FROM e WHERE key NOT IN (SELECT key FROM k)""",
+)
+def _(spark, d):
+    return prune.plan_prunes(b2(spark, d))
+
+
+@query("a12_prune_summary", "SELECT count(*) AS before, (SELECT count(*) FROM part WHERE p_size > 25) AS pruned, count(*) FILTER (p_size <= 25) AS kept FROM part")
+def _(spark, d):
+    t = b2(spark, d)
+    gone = table(spark, d, "part").filter("p_size > 25").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"))
+    return stats.prune_summary(t, gone)
+
+
+@query(
+    "f19_j9_first_board_hit",
+    """WITH n AS (SELECT DISTINCT p_brand || ' ' || p_type || ' Corp' AS name FROM part), s AS (SELECT name, lower(regexp_replace(name, ' Corp$', '')) AS b FROM n),
+v AS (SELECT name, 0 AS r, regexp_replace(b, '[^a-z0-9]', '', 'g') AS slug FROM s UNION ALL SELECT name, 1, regexp_replace(b, '[^a-z0-9]+', '-', 'g') FROM s),
+p AS (SELECT DISTINCT regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '-', 'g') AS slug, 'lever' AS platform, 1 AS pr FROM part WHERE p_size > 10
+  UNION SELECT DISTINCT regexp_replace(lower(p_brand || p_type), '[^a-z0-9]', '', 'g'), 'ashby', 2 FROM part WHERE p_size > 40)
+SELECT name, platform, slug, name AS label FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY r, pr) AS rn FROM v JOIN p USING (slug)) WHERE rn = 1""",
+)
+def _(spark, d):
+    p = table(spark, d, "part")
+    names = p.select(F.concat_ws(" ", "p_brand", "p_type", F.lit("Corp")).alias("name"), F.array().cast("array<string>").alias("hints")).distinct()
+    v = text.slug_variants(F.concat_ws(" ", "p_brand", "p_type"))
+    lever = p.filter("p_size > 10").select(F.lit("lever").alias("platform"), v[1].alias("slug"), F.lit(True).alias("present")).distinct()
+    ashby = p.filter("p_size > 40").select(F.lit("ashby").alias("platform"), v[0].alias("slug"), F.lit(True).alias("present")).distinct()
+    return joins.first_board_hit(names, lever.unionByName(ashby))
+
+
+@query(
+    "j11_a13_watchlist_audit",
+    """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) END AS live FROM customer)
+SELECT CASE WHEN live > 0 THEN 'live' WHEN live = 0 THEN 'empty' ELSE 'unreachable' END AS state, count(*) AS n FROM b GROUP BY 1""",
+)
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.lit("greenhouse").alias("platform"), F.col("c_custkey").cast("string").alias("slug"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("_s")).agg(F.collect_list(F.struct("o_orderkey")).alias("jobs"))
+    jobs = F.to_json(F.struct(F.coalesce("jobs", F.array().cast("array<struct<o_orderkey:bigint>>")).alias("jobs")))
+    probes = c.join(o, F.col("slug") == F.col("_s"), "left").select("platform", "slug", F.when(F.col("slug").cast("int") % 4 == 0, 500).otherwise(200).alias("http_status"), jobs.alias("payload"))
+    return stats.watchlist_audit_rollup(joins.verified_watchlist(c, probes))
+
+
+@query(
+    "a16_board_samples",
+    """WITH j AS (SELECT o_custkey, 'Order ' || o_orderkey || ' [' || o_orderpriority || ']' AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS open FROM orders),
+f AS (SELECT o_custkey, any_value(open) AS open, string_agg(s, '; ' ORDER BY rn) FILTER (rn <= 3) AS sample FROM j GROUP BY 1)
+SELECT 'lever' AS platform, CAST(c_custkey AS VARCHAR) AS slug, COALESCE(open, 0) AS open, COALESCE(sample, '(no open jobs)') AS sample FROM customer LEFT JOIN f ON o_custkey = c_custkey""",
+)
+def _(spark, d):
+    boards = table(spark, d, "customer").select(F.lit("lever").alias("platform"), F.col("c_custkey").cast("string").alias("slug"))
+    jobs = table(spark, d, "orders").select(
+        F.lit("lever").alias("platform"), F.col("o_custkey").cast("string").alias("slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("location"), F.col("o_orderkey").alias("ord"),
+    )
+    return stats.board_samples(boards, jobs)
+
+
+@query("j12_add_to_watchlist", "SELECT 'lever' AS platform, c_custkey AS slug FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT 'lever', o_custkey FROM orders WHERE o_custkey % 2 = 1")
+def _(spark, d):
+    w = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.lit("lever").alias("platform"), F.col("c_custkey").alias("slug"))
+    return joins.add_to_watchlist(w, table(spark, d, "orders").select(F.lit("lever").alias("platform"), F.col("o_custkey").alias("slug")).distinct())
+
+
+@query("j10_new_companies", "SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 <> 0 AND (c_custkey % 5 <> 0 OR c_custkey % 7 = 0)")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    at = lambda cond: c.filter(cond).select(F.upper("c_name").alias("name"))
+    names = c.select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("hint"))).otherwise(F.array().cast("array<string>")).alias("hints"))
+    return joins.new_companies(names, at("c_custkey % 2 = 0"), at("c_custkey % 3 = 0"), at("c_custkey % 5 = 0")).select("name")
+
+
+# --- B6: pages --------------------------------------------------------------------------
+
+
+@query(
+    "f6_clean_url",
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '(#.*)$', 1) AS h, split_part(split_part(url, '#', 1), '?', 1) AS path, regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1) AS q FROM pages),
+k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '') AS a FROM p), f AS (SELECT *, list_filter(a, lambda x: NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref)(=|$)')) AS b FROM k)
+SELECT page_id, CASE WHEN len(a) = len(b) THEN url ELSE path || CASE WHEN len(b) > 0 THEN '?' || array_to_string(b, '&') ELSE '' END || h END AS url FROM f""",
+)
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.clean_url(F.col("url")).alias("url"))
+
+
+@query("f1_html_to_text")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query("f9_cell_urls", """SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS links FROM pages""")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(urls.HREF), 1)).cast("long").alias("links"))
+
+
+@query(
+    "f18_find_board_target",
+    """SELECT page_id, lower(regexp_extract(url, 'https?://([^/?#]+)/([^/?#]+)', 1)) AS host, regexp_extract(url, 'https?://([^/?#]+)/([^/?#]+)', 2) AS site FROM pages WHERE regexp_matches(url, 'https?://([^/?#]+)/([^/?#]+)')""",
+)
+def _(spark, d):
+    found = table(spark, d, "pages").select("page_id", urls.find_board_target(F.col("url"), F.lit(None).cast("string"), "https?://([^/?#]+)", "/([^/?#]+)").alias("t"))
+    return found.filter("t is not null").select("page_id", "t.*")
+
+
+# --- B7: events as hits over time ---------------------------------------------------------
+
+
+@query(
+    "w2_recruitment_pulse",
+    """WITH RECURSIVE d AS (SELECT DISTINCT event_type || '-' || user_id AS company, CAST(ts AS DATE) AS day FROM events),
+a(company, first_seen) AS (SELECT company, min(day) FROM d GROUP BY company
+  UNION ALL SELECT a.company, (SELECT min(day) FROM d WHERE d.company = a.company AND d.day > a.first_seen + 4) FROM a WHERE (SELECT min(day) FROM d WHERE d.company = a.company AND d.day > a.first_seen + 4) IS NOT NULL)
+SELECT company, first_seen, first_seen + 4 AS expires FROM a""",
+)
+def _(spark, d):
+    hits = table(spark, d, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("company"), F.to_date("ts").alias("day"))
+    return alerts.pulse_days(hits)
+
+
+@query(
+    "j5_fresh_fast_lane",
+    "SELECT event_id FROM events WHERE user_id % 10 = 0 OR (user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02'))",
+)
+def _(spark, d):
+    hit = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string"))
+    e = table(spark, d, "events").withColumn("url", hit)
+    return joins.fresh_fast_lane(e, e.filter("ts < timestamp '2024-01-02'")).select("event_id")
+
+
+@query("j4_suppress_active_alerts", "SELECT event_id FROM events WHERE lower(event_type) NOT IN ('error', 'view')")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("company", F.col("event_type"))
+    on = e.filter("event_type in ('error', 'view')").select(F.upper("event_type").alias("company"))
+    return joins.suppress_active_alerts(e, on).select("event_id")
+
+
+@query(
+    "a11_alert_groups",
+    """SELECT event_type AS company, count(*) AS count, array_to_string(list_transform(list_sort(list(event_id))[1:4], lambda x: CAST(x AS VARCHAR)), ',') AS sample_roles FROM events GROUP BY 1""",
+)
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("company"), F.col("event_id").cast("string").alias("title"), F.col("event_id").alias("ord"))
+    return stats.alert_groups(e).withColumn("sample_roles", F.array_join("sample_roles", ","))
+
+
+@query("p17_unexpired_alerts", "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("expires", F.date_format("ts", "yyyy-MM-dd"))
+    return filters.unexpired_alerts(e, datetime.date(2024, 1, 20)).select("event_id")
+
+
+@query("p18_unexpired_seen", "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) >= TIMESTAMP '2024-01-10 00:00:00'")
+def _(spark, d):
+    stamp = F.when(F.col("event_id") % 3 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return filters.unexpired_seen(table(spark, d, "events").withColumn("alerted_at", stamp), datetime.datetime(2024, 1, 15), 5).select("event_id")
+
+
+@query("s8_alerts_digest", "SELECT event_type AS company, count(*) AS n FROM events WHERE user_id = 3 GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "events").filter("user_id = 3").select(F.col("event_type").alias("company"), F.col("event_id").cast("string").alias("title"), F.lit("").alias("location"), F.lit("").alias("url"))
+    return sinks.alerts_digest(e).select("company", "n")
+
+
+@query(
+    "f22_month_day",
+    "SELECT event_id, strftime(ts, '%b %-d') AS shown FROM events",
+)
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", dates.month_day(F.date_format("ts", "yyyy-MM-dd HH:mm")).alias("shown"))
+
+
+@query(
+    "f23_infer_full_date",
+    """WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS dd FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29))
+SELECT o_orderkey, strftime(make_date(CASE WHEN m * 100 + dd > 615 THEN 1997 ELSE 1998 END, m, dd), '%Y-%m-%d') || ' 00:00' AS found FROM o""",
+)
+def _(spark, d):
+    o = table(spark, d, "orders").filter("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+    return o.select("o_orderkey", dates.infer_full_date(F.date_format("o_orderdate", "MMM d"), TODAY).alias("found"))
+
+
+@query("f25_n15_coerce_scores", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity / 4.0) AS INT) AS score FROM lineitem WHERE trunc(l_quantity / 4.0) BETWEEN 0 AND 10")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("t").alias("title"), F.lit("").alias("url"), (F.col("l_quantity") / 4.0).cast("string").alias("score"))
+    return files.valid_matches(rows).select("l_orderkey", "l_linenumber", "score")
+
+
+# --- B10: conversations: values carried from line to line ------------------------------------
+
+
+@query(
+    "g3_carry_section",
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations""",
+)
+def _(spark, d):
+    c = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.left("text", F.lit(20)))).withColumn("at", F.struct("turn", "role", "text"))
+    return ordered.carry_last(c, "head", ["conv_id"], "at", "section").select("conv_id", "turn", "section")
+
+
+@query("g6_cap_rows", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn <= 2")
+def _(spark, d):
+    c = table(spark, d, "conversations").withColumn("at", F.struct("turn", "role", "text"))
+    return ordered.cap_rows(c, 2, ["conv_id"], "at").select("conv_id", "turn")
+
+
+# --- B9: payloads made of customers and orders ---------------------------------------------
+
+
+def b9(spark, d, item, wrap: str | None, slug=F.lit("acme")) -> DataFrame:
+    """A payload of up to a hundred customers: ``item`` is the struct of one, ``wrap`` the field that holds the array."""
+    rows = table(spark, d, "customer").withColumn("_i", item).groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.collect_list("_i").alias("a"))
+    body = F.to_json(F.struct(F.col("a").alias(wrap))) if wrap else F.to_json("a")
+    return rows.select(F.lit("x").alias("source_type"), slug.alias("slug"), F.lit("Acme").alias("label"), "page", body.alias("payload"))
+
+
+_NAME, _SEG = F.col("c_name"), F.col("c_mktsegment")
+_REMOTE = F.col("c_custkey") % 2 == 0
+_SUFFIX = "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' (Remote)' ELSE c_mktsegment END"
+
+
+def _sql(title="c_name", company="'acme'", location="c_mktsegment", url="'u' || c_custkey", description="'text ' || c_custkey", source="''", where="TRUE", salary="''"):
+    return f"SELECT {title} AS title, {company} AS company, {location} AS location, {salary} AS salary, {url} AS url, {description} AS description, {source} AS source FROM customer WHERE {where}"
+
+
+_URL = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+_HTML = F.concat(F.lit("<p>text <b>"), F.col("c_custkey").cast("string"), F.lit("</b></p>"))
+
+
+@query("n1_norm_remoteok", _sql(company="c_mktsegment", location="'Remote'", salary="'$' || format('{:,}', c_custkey + 1000) || ' - $' || format('{:,}', c_custkey + 2000)", description="'TAGS: a, b' || chr(10) || 'text ' || c_custkey", source="'remoteok'", where="c_custkey % 3 <> 0"))
+def _(spark, d):
+    k = F.col("c_custkey")
+    item = F.struct(F.when(k % 3 != 0, _NAME).alias("position"), _SEG.alias("company"), F.lit("").alias("location"), (k + 1000).alias("salary_min"), (k + 2000).alias("salary_max"), F.array(F.lit("a"), F.lit("b")).alias("tags"), _HTML.alias("description"), _URL.alias("url"))
+    return normalize.norm_remoteok(b9(spark, d, item, None))
+
+
+@query("n3_norm_remotive", _sql(company="c_mktsegment", location="'Remote'", source="'remotive'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), _SEG.alias("company_name"), F.lit("").alias("candidate_required_location"), _URL.alias("url"), _HTML.alias("description"))
+    return normalize.norm_remotive(b9(spark, d, item, "jobs"))
+
+
+@query("n4_norm_arbeitnow", _sql(company="'co'", location=_SUFFIX, description="'TAGS: a, full' || chr(10) || 'text ' || c_custkey", source="'arbeitnow'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.lit("co").alias("company_name"), _SEG.alias("location"), _REMOTE.alias("remote"), F.array(F.lit("a")).alias("tags"), F.array(F.lit("full")).alias("job_types"), _URL.alias("url"), _HTML.alias("description"))
+    return normalize.norm_arbeitnow(b9(spark, d, item, "data"))
+
+
+@query("n7_norm_greenhouse", _sql(source="'greenhouse:acme'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.struct(_SEG.alias("name")).alias("location"), _URL.alias("absolute_url"), _HTML.alias("content"))
+    return normalize.norm_greenhouse(b9(spark, d, item, "jobs"))
+
+
+@query("n8_norm_lever", _sql(description="'team, full' || chr(10) || 'text ' || c_custkey", source="'lever:acme'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("text"), F.struct(F.lit("team").alias("team"), F.lit("full").alias("commitment"), _SEG.alias("location")).alias("categories"), _HTML.alias("description"), _URL.alias("hostedUrl"))
+    return normalize.norm_lever(b9(spark, d, item, None))
+
+
+@query("n9_norm_ashby", _sql(location=_SUFFIX, description="'dept'", source="'ashby:acme'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.lit("").alias("location"), _SEG.alias("locationName"), _REMOTE.alias("isRemote"), _URL.alias("applyUrl"), F.lit("").alias("descriptionHtml"), F.lit("dept").alias("departmentName"))
+    return normalize.norm_ashby(b9(spark, d, item, "jobs"))
+
+
+@query("n10_norm_smartrecruiters", _sql(location="'Rome, ' || " + _SUFFIX, url="'https://jobs.smartrecruiters.com/acme/' || c_custkey", source="'smartrecruiters:acme'"))
+def _(spark, d):
+    item = F.struct(
+        F.col("c_custkey").alias("id"), _NAME.alias("name"), F.struct(F.lit("Rome").alias("city"), F.lit("").alias("region"), _SEG.alias("country"), _REMOTE.alias("remote")).alias("location"),
+        F.struct(F.struct(F.struct(_HTML.alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd"),
+    )
+    return normalize.norm_smartrecruiters(b9(spark, d, item, "content"))
+
+
+@query("n11_norm_workable", _sql(location=_SUFFIX, source="'workable:acme'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.struct(_SEG.alias("city"), F.when(_REMOTE, "remote").alias("workplace")).alias("location"), _URL.alias("shortlink"), _HTML.alias("description"))
+    return normalize.norm_workable(b9(spark, d, item, "jobs"))
+
+
+@query("n12_norm_recruitee", _sql(location="'Oslo, ' || c_mktsegment", source="'recruitee:acme'"))
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.lit("Oslo").alias("city"), _SEG.alias("country_code"), _URL.alias("url"), _HTML.alias("description"))
+    return normalize.norm_recruitee(b9(spark, d, item, "offers"))
+
+
+@query(
+    "n13_norm_workday",
+    _sql(company="'a.wd1.x.com/Site'", location="CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END", url="'https://a.wd1.x.com/Site/job/' || c_custkey",
+         description="CASE WHEN c_custkey % 2 = 0 THEN '3 Locations' ELSE c_mktsegment END || chr(10) || 'Posted Today'", source="'workday:a.wd1.x.com/Site'"),
+)
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.when(_REMOTE, "3 Locations").otherwise(_SEG).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
+    return normalize.norm_workday(b9(spark, d, item, "jobPostings", F.lit("a.wd1.x.com/Site"))).drop("detail_url")
+
+
+@query(
+    "f16_fill_multi_location",
+    "SELECT c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'Rome; Oslo, NO' ELSE c_mktsegment END AS location, CASE WHEN c_custkey % 2 = 0 THEN 'Rome; Oslo, NO' ELSE c_mktsegment END || chr(10) || 'Posted Today' AS description FROM customer",
+)
+def _(spark, d):
+    item = F.struct(_NAME.alias("title"), F.when(_REMOTE, "3 Locations").otherwise(_SEG).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
+    posts = normalize.norm_workday(b9(spark, d, item, "jobPostings", F.lit("a.wd1.x.com/Site")))
+    details = posts.filter("detail_url is not null").select("detail_url", F.array(F.lit("Rome"), F.lit(" Oslo,  NO ")).alias("places"))
+    return normalize.fill_multi_location(posts, details).select("title", "location", "description")
+
+
+@query("n14_norm_oracle", _sql(company="'h.x.com/S1'", url="'https://h.x.com/hcmUI/CandidateExperience/en/sites/S1/job/' || c_custkey", description="c_mktsegment || chr(10) || 'Posted 2024-01-01'", source="'oracle:h.x.com/S1'"))
+def _(spark, d):
+    item = F.struct(F.col("c_custkey").alias("Id"), _NAME.alias("Title"), _SEG.alias("PrimaryLocation"), F.lit("2024-01-01").alias("PostedDate"))
+    raw = b9(spark, d, item, "requisitionList", F.lit("h.x.com/S1"))
+    return normalize.norm_oracle(raw.withColumn("payload", F.concat(F.lit('{"items":['), "payload", F.lit("]}"))))
+
+
+@query("n2_norm_wwr_rss", _sql(title="CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END", company="CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END", location="'Remote'", source="'weworkremotely'"))
+def _(spark, d):
+    title = F.when(_REMOTE, F.concat(_SEG, F.lit(": "), _NAME)).otherwise(_SEG)
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), _URL, F.lit("</link><description>text "), F.col("c_custkey").cast("string"), F.lit("</description></item>"))
+    rows = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("payload"))
+    return normalize.norm_wwr_rss(rows.withColumn("slug", F.lit("")))
+
+
+@query("n21_split_bad_payloads", "SELECT event_type AS source_type, count(*) AS bad FROM events WHERE event_id % 4 = 0 GROUP BY 1")
+def _(spark, d):
+    raw = table(spark, d, "events").select(F.col("event_type").alias("source_type"), F.when(F.col("event_id") % 4 == 0, F.lit('{"k": ')).otherwise(F.col("props")).alias("payload"))
+    return normalize.split_bad_payloads(raw)[1]
+
+
+@query("n6_norm_list")
+def _(spark, d):
+    """Every customer's orders as a Markdown list document; rows only here, brute force in the tests."""
+    o = table(spark, d, "orders").withColumn("line", F.concat(
+        F.lit("| "), F.when(F.col("o_orderkey") % 3 == 0, "↳").otherwise(F.col("o_orderpriority")), F.lit(" | Engineer "), F.col("o_orderkey").cast("string"),
+        F.lit(" | Oslo | [Apply](https://x.io/j?id="), F.col("o_orderkey").cast("string"), F.lit("&utm_source=l) |"),
+    ))
+    head = F.lit("## Jobs\n| Company | Role | Location | Link |\n|---|---|---|---|\n")
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n")).alias("text"))
+    return lists.norm_list(docs.withColumn("label", F.lit("x/y"))).select("doc", "ord", "company", "title", "url", "source")
+
+
+@query("u1_s1_union_and_funnel", "SELECT 0 AS step, 'fetched' AS stage, 2 * count(*) AS n FROM customer UNION ALL SELECT 1, 'deduped', count(*) FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_name").alias("title"), F.lit("").alias("company"), F.lit("").alias("url"), F.col("c_custkey").alias("ord"))
+    both = joins.union_sources(c, c)
+    return files.funnel({"fetched": both, "deduped": ordered.dedupe(both)})
+
+
+@query("j6_watchlist_label", "SELECT o_orderkey, 'Label ' || c_custkey AS company FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 2 = 0")
+def _(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.lit("lever").alias("platform"), F.col("c_custkey").cast("string").alias("slug"), F.concat(F.lit("Label "), F.col("c_custkey").cast("string")).alias("label"))
+    o = table(spark, d, "orders").select("o_orderkey", F.lit("").alias("company"), F.concat(F.lit("lever:"), F.col("o_custkey").cast("string")).alias("source"))
+    return joins.watchlist_label(o, c).select("o_orderkey", "company")
+
+
+@query("p9_is_watchlist_row", "SELECT o_orderkey, o_orderkey % 10 = 0 OR o_orderpriority = '5-LOW' AS watched FROM orders")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("company"), F.when(F.col("o_orderkey") % 10 == 0, "lever:x").otherwise("board").alias("source"))
+    return filters.is_watchlist_row(o, o.filter("company = '5-LOW'").select(F.lower("company").alias("label"))).select("o_orderkey", "watched")
