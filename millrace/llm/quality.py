@@ -124,9 +124,9 @@ class Machine:
 def fitted(number: np.ndarray, value: np.ndarray, cut: np.ndarray, label: np.ndarray, width: int, rank: int = 8, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5, seed: int = 3) -> Machine:
     """Logistic loss by AdaGrad over small batches; both labels weigh the same in sum."""
     rng = np.random.default_rng(seed)
-    share = label.mean() if len(label) else 0.5
-    if not 0 < share < 1:
-        return Machine(float(np.log((share + 1e-9) / (1 - share + 1e-9))) if len(label) else 0.0, np.zeros(width, np.float32), np.zeros((width, rank), np.float32))
+    share = float(label.mean()) if len(label) else 0.5
+    if not len(label) or not 0 < share < 1:
+        return Machine(float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(width, np.float32), np.zeros((width, rank), np.float32))
     weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     epochs = max(epochs, -(-600 * 128 // len(label)))
     m = Machine(0.0, np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32))
