@@ -15,6 +15,7 @@ from millrace import rules
 from millrace.functions import dates, keys, text, urls
 from millrace.operators import filters, joins, ordered, prune, scoring, stats, tracker
 from millrace.schemas import TRACKER_TYPES, with_columns_of
+from millrace.plans import cycle
 from millrace.sources import files, lists, normalize, sinks
 from millrace.streaming import alerts
 
@@ -876,3 +877,141 @@ def _(spark, d):
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("company"), F.when(F.col("o_orderkey") % 10 == 0, "lever:x").otherwise("board").alias("source"))
     return filters.is_watchlist_row(o, o.filter("company = '5-LOW'").select(F.lower("company").alias("label"))).select("o_orderkey", "watched")
+
+
+# --- whole plans ---------------------------------------------------------------------------
+
+
+@query(
+    "e1_cycle_rule_counts",
+    f"""WITH {KEYED}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS rn FROM keyed) WHERE rn = 1),
+w AS (SELECT * FROM one WHERE regexp_matches(lower(title || ' ' || description), '(^|[^\\p{{L}}\\p{{N}}_])(the|la|der)($|[^\\p{{L}}\\p{{N}}_])')
+  AND fp NOT IN (SELECT fp FROM keyed WHERE ord % 10 = 3)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ord) AS r2 FROM w) WHERE r2 = 1)
+SELECT CASE WHEN regexp_matches(title, '(?i)\\b(sales|presales|pre-sales)\\b') THEN 'non_technical' ELSE 'pass' END AS rule, count(*) AS n FROM f GROUP BY 1""",
+)
+def _(spark, d):
+    """Dedupe, keyword filter, seen postings out, gate: rows by rule."""
+    posts = b1(spark, d)
+    seen = joins.with_fingerprint(posts.filter("ord % 10 = 3")).select("fp")
+    left = cycle.survivors(posts, seen, cycle.CycleOptions(include=["the", "la", "der"]))
+    return stats.counted(left.select(F.coalesce("gate.rule", F.lit("pass")).alias("rule")), "rule")
+
+
+@query("e1_cycle_matches")
+def _(spark, d):
+    """A whole cycle with the rule classifier; every row with its score and reason."""
+    posts = b1(spark, d)
+    seen = joins.with_fingerprint(posts.filter("ord % 10 = 3")).select("fp")
+    return cycle.cycle(posts, seen, NOW, cycle.CycleOptions(all_rows=True))[0].select("title", "company", "score", "suitable", "reason")
+
+
+@query("c2_classify_by_labels", f"WITH {KEYED} SELECT a.ord, b.lang AS role_family FROM keyed a JOIN (SELECT fp, min(source) AS lang FROM keyed GROUP BY fp) b USING (fp)")
+def _(spark, d):
+    p = joins.with_fingerprint(b1(spark, d))
+    none = F.lit(None)
+    labels = p.groupBy("fp").agg(F.min("source").alias("role_family")).select(
+        "fp", "role_family", F.lit("junior").alias("seniority"), F.lit(0).alias("min_years_experience"), F.lit("unclear").alias("start_timing"),
+        F.lit(False).alias("clearance_required"), F.lit(False).alias("advanced_degree_required"), F.array().cast("array<string>").alias("matched_skills"), none.cast("string").alias("evidence"),
+    )
+    return scoring.classify(p.drop("fp"), labels).select("ord", "role_family")
+
+
+@query(
+    "t5_prune_apply",
+    """WITH r AS (SELECT 'k' || p_partkey AS key, p_partkey % 5 AS t, p_brand AS company, p_partkey % 3 AS l, p_size % 11 AS score FROM part WHERE p_partkey % 50 <> 0),
+k AS (SELECT key FROM (SELECT key, row_number() OVER (PARTITION BY company ORDER BY CASE t WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END, l, score DESC, key) AS rn FROM r WHERE t < 3 AND l < 2) WHERE rn <= 2)
+SELECT deleted_reason, count(*) AS n FROM (SELECT CASE WHEN r.key IS NOT NULL AND r.key NOT IN (SELECT key FROM k) THEN 'prune' END AS deleted_reason FROM part LEFT JOIN r ON r.key = 'k' || p_partkey) GROUP BY 1""",
+)
+def _(spark, d):
+    return stats.counted(prune.prune_apply(b2(spark, d), NOW), "deleted_reason")
+
+
+@query("p13_p14_protected_engaged", f"WITH {B4} SELECT key, status IS NOT NULL OR date_applied IS NOT NULL OR notes IS NOT NULL AS protected, status IS NOT NULL OR date_applied IS NOT NULL AS engaged FROM b4")
+def _(spark, d):
+    return b4(spark, d).select("key", prune.is_protected().alias("protected"), prune.is_engaged().alias("engaged"))
+
+
+@query("p12_hard_excluded", "SELECT p_partkey % 5 AS t, CASE WHEN p_partkey % 5 = 3 THEN 'too senior' WHEN p_partkey % 5 = 4 THEN 'non-engineering' WHEN p_partkey % 3 = 2 THEN 'location' ELSE 'kept' END AS why, count(*) AS n FROM part GROUP BY 1, 2")
+def _(spark, d):
+    t = b2(spark, d).withColumn("t", F.substring("key", 2, 20).cast("long") % 5)
+    why = prune.hard_excluded(F.col("title"), F.col("location"), F.col("reason"), F.col("concerns"))
+    return t.groupBy("t", F.coalesce(why, F.lit("kept")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p7_p8_titles", "SELECT p_partkey, p_partkey % 4 = 0 AS intern, p_partkey % 4 = 1 AS grad FROM part")
+def _(spark, d):
+    k = F.col("p_partkey") % 4
+    title = F.concat_ws(" ", "p_name", F.when(k == 0, "Intern 2027").when(k == 1, "New Grad").when(k == 2, "Internal"))
+    return table(spark, d, "part").select("p_partkey", filters.is_internship(title).alias("intern"), filters.is_new_grad(title).alias("grad"))
+
+
+@query("p10_p11_sections_and_marks", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'o') AND NOT contains(lower(p_type), 'promo') AND p_size % 2 = 1")
+def _(spark, d):
+    row = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(text.CLOSED))).otherwise(F.col("p_name"))
+    keep = filters.section_allowed(F.col("p_type"), ["O"], ["Promo"]) & ~filters.row_flag_skip(text.legend_flags(row))
+    return table(spark, d, "part").filter(keep).select("p_partkey")
+
+
+@query("f2_norm_ws", "SELECT page_id, trim(regexp_replace(left(html, 500), '[\\s\\x0B]+', ' ', 'g')) AS t FROM pages WHERE NOT regexp_matches(left(html, 500), '[\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]')")
+def _(spark, d):
+    p = table(spark, d, "pages").filter(~F.left("html", F.lit(500)).rlike("[\u0085\u00a0\u2000-\u200a\u3000]"))
+    return p.select("page_id", text.norm_ws(F.left("html", F.lit(500))).alias("t"))
+
+
+@query("f14_f15_places", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ', x (Remote)' ELSE c_mktsegment || ', x' END AS place FROM customer")
+def _(spark, d):
+    place = text.join_place(F.col("c_mktsegment"), F.lit(""), F.lit("x"))
+    return table(spark, d, "customer").select("c_custkey", text.remote_suffix(place, F.col("c_custkey") % 2 == 0).alias("place"))
+
+
+@query("f7_f17_list_and_board_urls", "SELECT c_custkey, 'https://raw.githubusercontent.com/o' || c_custkey || '/r/main/README.md' AS raw, 'o' || c_custkey AS tenant FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey").cast("string")
+    made = urls.canonical_list_url(F.concat(F.lit("https://github.com/o"), k, F.lit("/r.git")))
+    slug = urls.parse_workday_slug(F.concat(F.lit("https://o"), k, F.lit(".wd1.x.com/Site")))
+    return table(spark, d, "customer").select("c_custkey", made["url"].alias("raw"), slug["tenant"].alias("tenant"))
+
+
+@query("f20_f21_f24_buckets", "SELECT CASE WHEN contains(c_mktsegment, 'BUILD') THEN 'watchlist (lever)' ELSE c_mktsegment END AS source, count(*) AS n, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM customer), 0) AS INT) AS pct FROM customer GROUP BY 1")
+def _(spark, d):
+    src = F.when(F.col("c_mktsegment").contains("BUILD"), F.concat(F.lit("lever:"), "c_name")).otherwise(F.col("c_mktsegment"))
+    return stats.source_breakdown(table(spark, d, "customer").select(src.alias("source")))
+
+
+@query("f26_clean_cell", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS v FROM orders")
+def _(spark, d):
+    c = F.when(F.col("o_orderkey") % 3 == 0, " . ").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit("\t")))
+    return table(spark, d, "orders").select("o_orderkey", text.clean_cell(c).alias("v"))
+
+
+@query("s6_evolve_schema", f"WITH {B4} SELECT key, score, CAST(NULL AS VARCHAR) AS pay FROM b4")
+def _(spark, d):
+    from millrace.schemas import evolve_schema
+
+    return evolve_schema(b4(spark, d).drop("pay"), 1, 2).select("key", "score", "pay")
+
+
+@query("a15_dashboard_counts", f"WITH {B4} SELECT 'scores' AS part, count(DISTINCT score) AS n FROM b4 WHERE deleted_at IS NULL UNION ALL SELECT 'statuses', count(DISTINCT COALESCE(status, '')) FROM b4 WHERE deleted_at IS NULL UNION ALL SELECT 'recent', 10")
+def _(spark, d):
+    none = spark.createDataFrame([], "company string, expires string")
+    parts = stats.dashboard(b4(spark, d), none, TODAY)
+    return files.funnel({n: parts[n] for n in ("scores", "statuses", "recent")}).select(F.col("stage").alias("part"), "n")
+
+
+@query("w1_w3_stream_once", "SELECT lower(event_type) AS company, count(DISTINCT user_id) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1")
+def _(spark, d):
+    """Events as a stream in micro-batches against the table of pairs seen so far: each (type, user) once, ever."""
+    from millrace.session import scratch
+
+    schema = table(spark, d, "events").schema
+    seen, ck = scratch(spark, "stream-seen"), scratch(spark, "stream-checkpoint")
+
+    def batch(df: DataFrame, _: int) -> None:
+        before = alerts.table_or_empty(spark, seen, "fp string, company string")
+        hits = df.filter("user_id % 3 <> 0").select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("fp"), F.lower("event_type").alias("company"))
+        joins.new_postings(hits.distinct(), before).write.mode("append").parquet(seen)
+
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return stats.counted(spark.read.parquet(seen), "company")
