@@ -727,15 +727,33 @@ def _(spark, d):
 # --- B9: payloads made of customers and orders ---------------------------------------------
 
 
-def b9(spark, d, item, wrap: str | None, slug=F.lit("acme")) -> DataFrame:
+def b9(spark, d, item, wrap: str | None, slug: str = "acme") -> DataFrame:
     """A payload of up to a hundred customers: ``item`` is the struct of one, ``wrap`` the field that holds the array."""
     rows = table(spark, d, "customer").withColumn("_i", item).groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.collect_list("_i").alias("a"))
     body = F.to_json(F.struct(F.col("a").alias(wrap))) if wrap else F.to_json("a")
-    return rows.select(F.lit("x").alias("source_type"), slug.alias("slug"), F.lit("Acme").alias("label"), "page", body.alias("payload"))
+    return rows.select(F.lit("x").alias("source_type"), F.lit(slug).alias("slug"), F.lit("Acme").alias("label"), "page", body.alias("payload"))
+
+
+def _name():
+    return F.col("c_name")
+
+
+def _seg():
+    return F.col("c_mktsegment")
+
+
+def _remote():
+    return F.col("c_custkey") % 2 == 0
+
+
+def _url():
+    return F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+
+
+def _html():
+    return F.concat(F.lit("<p>text <b>"), F.col("c_custkey").cast("string"), F.lit("</b></p>"))
 
 
-_NAME, _SEG = F.col("c_name"), F.col("c_mktsegment")
-_REMOTE = F.col("c_custkey") % 2 == 0
 _SUFFIX = "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' (Remote)' ELSE c_mktsegment END"
 
 
@@ -743,65 +761,63 @@ def _sql(title="c_name", company="'acme'", location="c_mktsegment", url="'u' ||
     return f"SELECT {title} AS title, {company} AS company, {location} AS location, {salary} AS salary, {url} AS url, {description} AS description, {source} AS source FROM customer WHERE {where}"
 
 
-_URL = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
-_HTML = F.concat(F.lit("<p>text <b>"), F.col("c_custkey").cast("string"), F.lit("</b></p>"))
 
 
 @query("n1_norm_remoteok", _sql(company="c_mktsegment", location="'Remote'", salary="'$' || format('{:,}', c_custkey + 1000) || ' - $' || format('{:,}', c_custkey + 2000)", description="'TAGS: a, b' || chr(10) || 'text ' || c_custkey", source="'remoteok'", where="c_custkey % 3 <> 0"))
 def _(spark, d):
     k = F.col("c_custkey")
-    item = F.struct(F.when(k % 3 != 0, _NAME).alias("position"), _SEG.alias("company"), F.lit("").alias("location"), (k + 1000).alias("salary_min"), (k + 2000).alias("salary_max"), F.array(F.lit("a"), F.lit("b")).alias("tags"), _HTML.alias("description"), _URL.alias("url"))
+    item = F.struct(F.when(k % 3 != 0, _name()).alias("position"), _seg().alias("company"), F.lit("").alias("location"), (k + 1000).alias("salary_min"), (k + 2000).alias("salary_max"), F.array(F.lit("a"), F.lit("b")).alias("tags"), _html().alias("description"), _url().alias("url"))
     return normalize.norm_remoteok(b9(spark, d, item, None))
 
 
 @query("n3_norm_remotive", _sql(company="c_mktsegment", location="'Remote'", source="'remotive'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), _SEG.alias("company_name"), F.lit("").alias("candidate_required_location"), _URL.alias("url"), _HTML.alias("description"))
+    item = F.struct(_name().alias("title"), _seg().alias("company_name"), F.lit("").alias("candidate_required_location"), _url().alias("url"), _html().alias("description"))
     return normalize.norm_remotive(b9(spark, d, item, "jobs"))
 
 
 @query("n4_norm_arbeitnow", _sql(company="'co'", location=_SUFFIX, description="'TAGS: a, full' || chr(10) || 'text ' || c_custkey", source="'arbeitnow'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.lit("co").alias("company_name"), _SEG.alias("location"), _REMOTE.alias("remote"), F.array(F.lit("a")).alias("tags"), F.array(F.lit("full")).alias("job_types"), _URL.alias("url"), _HTML.alias("description"))
+    item = F.struct(_name().alias("title"), F.lit("co").alias("company_name"), _seg().alias("location"), _remote().alias("remote"), F.array(F.lit("a")).alias("tags"), F.array(F.lit("full")).alias("job_types"), _url().alias("url"), _html().alias("description"))
     return normalize.norm_arbeitnow(b9(spark, d, item, "data"))
 
 
 @query("n7_norm_greenhouse", _sql(source="'greenhouse:acme'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.struct(_SEG.alias("name")).alias("location"), _URL.alias("absolute_url"), _HTML.alias("content"))
+    item = F.struct(_name().alias("title"), F.struct(_seg().alias("name")).alias("location"), _url().alias("absolute_url"), _html().alias("content"))
     return normalize.norm_greenhouse(b9(spark, d, item, "jobs"))
 
 
 @query("n8_norm_lever", _sql(description="'team, full' || chr(10) || 'text ' || c_custkey", source="'lever:acme'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("text"), F.struct(F.lit("team").alias("team"), F.lit("full").alias("commitment"), _SEG.alias("location")).alias("categories"), _HTML.alias("description"), _URL.alias("hostedUrl"))
+    item = F.struct(_name().alias("text"), F.struct(F.lit("team").alias("team"), F.lit("full").alias("commitment"), _seg().alias("location")).alias("categories"), _html().alias("description"), _url().alias("hostedUrl"))
     return normalize.norm_lever(b9(spark, d, item, None))
 
 
 @query("n9_norm_ashby", _sql(location=_SUFFIX, description="'dept'", source="'ashby:acme'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.lit("").alias("location"), _SEG.alias("locationName"), _REMOTE.alias("isRemote"), _URL.alias("applyUrl"), F.lit("").alias("descriptionHtml"), F.lit("dept").alias("departmentName"))
+    item = F.struct(_name().alias("title"), F.lit("").alias("location"), _seg().alias("locationName"), _remote().alias("isRemote"), _url().alias("applyUrl"), F.lit("").alias("descriptionHtml"), F.lit("dept").alias("departmentName"))
     return normalize.norm_ashby(b9(spark, d, item, "jobs"))
 
 
 @query("n10_norm_smartrecruiters", _sql(location="'Rome, ' || " + _SUFFIX, url="'https://jobs.smartrecruiters.com/acme/' || c_custkey", source="'smartrecruiters:acme'"))
 def _(spark, d):
     item = F.struct(
-        F.col("c_custkey").alias("id"), _NAME.alias("name"), F.struct(F.lit("Rome").alias("city"), F.lit("").alias("region"), _SEG.alias("country"), _REMOTE.alias("remote")).alias("location"),
-        F.struct(F.struct(F.struct(_HTML.alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd"),
+        F.col("c_custkey").alias("id"), _name().alias("name"), F.struct(F.lit("Rome").alias("city"), F.lit("").alias("region"), _seg().alias("country"), _remote().alias("remote")).alias("location"),
+        F.struct(F.struct(F.struct(_html().alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd"),
     )
     return normalize.norm_smartrecruiters(b9(spark, d, item, "content"))
 
 
 @query("n11_norm_workable", _sql(location=_SUFFIX, source="'workable:acme'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.struct(_SEG.alias("city"), F.when(_REMOTE, "remote").alias("workplace")).alias("location"), _URL.alias("shortlink"), _HTML.alias("description"))
+    item = F.struct(_name().alias("title"), F.struct(_seg().alias("city"), F.when(_remote(), "remote").alias("workplace")).alias("location"), _url().alias("shortlink"), _html().alias("description"))
     return normalize.norm_workable(b9(spark, d, item, "jobs"))
 
 
 @query("n12_norm_recruitee", _sql(location="'Oslo, ' || c_mktsegment", source="'recruitee:acme'"))
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.lit("Oslo").alias("city"), _SEG.alias("country_code"), _URL.alias("url"), _HTML.alias("description"))
+    item = F.struct(_name().alias("title"), F.lit("Oslo").alias("city"), _seg().alias("country_code"), _url().alias("url"), _html().alias("description"))
     return normalize.norm_recruitee(b9(spark, d, item, "offers"))
 
 
@@ -811,8 +827,8 @@ def _(spark, d):
          description="CASE WHEN c_custkey % 2 = 0 THEN '3 Locations' ELSE c_mktsegment END || chr(10) || 'Posted Today'", source="'workday:a.wd1.x.com/Site'"),
 )
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.when(_REMOTE, "3 Locations").otherwise(_SEG).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
-    return normalize.norm_workday(b9(spark, d, item, "jobPostings", F.lit("a.wd1.x.com/Site"))).drop("detail_url")
+    item = F.struct(_name().alias("title"), F.when(_remote(), "3 Locations").otherwise(_seg()).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
+    return normalize.norm_workday(b9(spark, d, item, "jobPostings", "a.wd1.x.com/Site")).drop("detail_url")
 
 
 @query(
@@ -820,23 +836,23 @@ def _(spark, d):
     "SELECT c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'Rome; Oslo, NO' ELSE c_mktsegment END AS location, CASE WHEN c_custkey % 2 = 0 THEN 'Rome; Oslo, NO' ELSE c_mktsegment END || chr(10) || 'Posted Today' AS description FROM customer",
 )
 def _(spark, d):
-    item = F.struct(_NAME.alias("title"), F.when(_REMOTE, "3 Locations").otherwise(_SEG).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
-    posts = normalize.norm_workday(b9(spark, d, item, "jobPostings", F.lit("a.wd1.x.com/Site")))
+    item = F.struct(_name().alias("title"), F.when(_remote(), "3 Locations").otherwise(_seg()).alias("locationsText"), F.lit("Posted Today").alias("postedOn"), F.concat(F.lit("/job/"), F.col("c_custkey").cast("string")).alias("externalPath"))
+    posts = normalize.norm_workday(b9(spark, d, item, "jobPostings", "a.wd1.x.com/Site"))
     details = posts.filter("detail_url is not null").select("detail_url", F.array(F.lit("Rome"), F.lit(" Oslo,  NO ")).alias("places"))
     return normalize.fill_multi_location(posts, details).select("title", "location", "description")
 
 
 @query("n14_norm_oracle", _sql(company="'h.x.com/S1'", url="'https://h.x.com/hcmUI/CandidateExperience/en/sites/S1/job/' || c_custkey", description="c_mktsegment || chr(10) || 'Posted 2024-01-01'", source="'oracle:h.x.com/S1'"))
 def _(spark, d):
-    item = F.struct(F.col("c_custkey").alias("Id"), _NAME.alias("Title"), _SEG.alias("PrimaryLocation"), F.lit("2024-01-01").alias("PostedDate"))
-    raw = b9(spark, d, item, "requisitionList", F.lit("h.x.com/S1"))
+    item = F.struct(F.col("c_custkey").alias("Id"), _name().alias("Title"), _seg().alias("PrimaryLocation"), F.lit("2024-01-01").alias("PostedDate"))
+    raw = b9(spark, d, item, "requisitionList", "h.x.com/S1")
     return normalize.norm_oracle(raw.withColumn("payload", F.concat(F.lit('{"items":['), "payload", F.lit("]}"))))
 
 
 @query("n2_norm_wwr_rss", _sql(title="CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END", company="CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END", location="'Remote'", source="'weworkremotely'"))
 def _(spark, d):
-    title = F.when(_REMOTE, F.concat(_SEG, F.lit(": "), _NAME)).otherwise(_SEG)
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), _URL, F.lit("</link><description>text "), F.col("c_custkey").cast("string"), F.lit("</description></item>"))
+    title = F.when(_remote(), F.concat(_seg(), F.lit(": "), _name())).otherwise(_seg())
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), _url(), F.lit("</link><description>text "), F.col("c_custkey").cast("string"), F.lit("</description></item>"))
     rows = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("payload"))
     return normalize.norm_wwr_rss(rows.withColumn("slug", F.lit("")))
 
