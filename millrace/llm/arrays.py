@@ -5,7 +5,6 @@ Hashes are polynomials modulo 2**64 over random byte values, finished by a bit m
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +19,17 @@ UNBASE = U(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE), np.full(n, UNBASE)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
+_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least."""
-    return _powers(max(1 << 16, 1 << (n - 1).bit_length()))
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; the longest made so far are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = -(-n // (1 << 18)) << 18
+        up, down = np.full(size, BASE), np.full(size, UNBASE)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
+    return _POWERS
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,7 +85,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a piece has about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:

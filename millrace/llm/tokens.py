@@ -69,7 +69,7 @@ def cut_at_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; remembers ids of up to ``most`` distinct words by 64-bit hash."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,7 +101,7 @@ class Encoder:
                     ids = self.pieces.get(p)
                     if ids is None:
                         ids = tuple([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS))])
-                        if len(p) < 6 and len(self.pieces) < 200_000:
+                        if len(p) < 6 and len(self.pieces) < 50_000:
                             self.pieces[p] = ids
                     flat += ids
             sizes.append(len(flat) - before)
@@ -159,7 +159,7 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each batch: itself, ids of its texts one after another (each with ``end_id``), offsets."""
     enc = encoder(path)
-    for batch in arrays.pieces(batches, most=1 << 22):
+    for batch in arrays.pieces(batches):
         ids, sizes = enc.encode(batch.column(batch.schema.get_field_index("text")))
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
