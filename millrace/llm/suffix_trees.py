@@ -6,21 +6,21 @@ sequence also starts in a document with a smaller doc_id.
 1. Leaf pruning. Every window holds grams of ``gram`` words; its least gram hash must
    come from another document too, or its suffix is a leaf that hangs above the depth
    asked for. Distinct least hashes of each chunk are shuffled once, the suffixes left
-   are a small part of all.
-2. Prefix partitions. First words of suffixes are counted; prefixes of one to three
-   words, longer where many suffixes share them, cut the key space into groups of
-   about equal size.
-3. Subtrees. A group's suffixes, equal ones of a chunk as one with the smallest doc_id,
-   are sorted and their common prefixes taken: a suffix tree in the form of its leaves
-   in order and their LCP array, whose LCP intervals are the internal nodes. Below a
-   node of depth ``window`` or more all suffixes repeat; those that are not of its
-   smallest document are reported.
+   are a small part of all. Neighbouring suffixes with one least gram travel as one
+   stretch of words, equal stretches of a chunk as one with the smallest doc_id.
+2. Prefix partitions. The words that begin a least gram, which suffixes with a common
+   window share, are counted; prefixes of one to three words, longer where many
+   suffixes share them, cut the key space into groups of about equal size.
+3. Subtrees. A group's stretches give its suffixes; they are sorted and their common
+   prefixes taken: a suffix tree in the form of its leaves in order and their LCP array,
+   whose LCP intervals are the internal nodes. Below a node of depth ``window`` or more
+   all suffixes repeat; those that are not of its smallest document are reported.
 4. Chunks mark what was reported, cut the text and give the result.
 
 Words are compared by 64-bit hashes of which 32 bits each travel; a suffix is 13 of
 them, so unequal windows do not meet in practice.
 
-Memory: a chunk is some MB, a group about ``1 / (2 * shuffle partitions)`` of the pruned
+Memory: a chunk is some MB, a group about ``1 / (4 * shuffle partitions)`` of the pruned
 suffixes; the same passage repeated in very many documents arrives once a chunk.
 
 Defined results: null texts have no words; a null doc_id counts as larger than all
@@ -57,19 +57,32 @@ class Suffixes:
         self.key = c.order[self.doc] if len(self.at) else np.zeros(0, np.int64)
         self.window = window
         self.gram = gram
+        self.grams = arrays.windows_hash(self.hashes, gram)
 
     def least(self) -> np.ndarray:
-        g = arrays.windows_hash(self.hashes, self.gram)
-        return arrays.mixed(arrays.sliding_min(g, self.window - self.gram + 1)[self.at])
+        return arrays.sliding_min(self.grams, self.window - self.gram + 1)[self.at]
+
+    def runs(self, least: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of chosen neighbouring windows (row numbers) with one least gram: first rows, numbers of windows, prefixes."""
+        at, doc, v = self.at[chosen], self.doc[chosen], least[chosen]
+        fresh = np.ones(len(chosen), bool)
+        fresh[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (v[1:] != v[:-1])
+        heads = np.flatnonzero(fresh)
+        span = np.arange(self.window - self.gram + 1)
+        where = np.empty(len(heads), np.int64)
+        for i in range(0, len(heads), 1 << 14):
+            own = at[heads[i : i + (1 << 14)]]
+            where[i : i + (1 << 14)] = own + (self.grams[own[:, None] + span] == v[heads[i : i + (1 << 14)], None]).argmax(axis=1)
+        return chosen[heads], np.diff(np.append(heads, len(chosen))), self.prefixes(where)
 
     def names(self) -> np.ndarray:
         return arrays.windows_hash(self.hashes, self.window)[self.at]
 
-    def prefixes(self, rows: np.ndarray) -> np.ndarray:
-        """The first letters of suffixes as one number."""
-        out = np.zeros(len(rows), np.int64)
+    def prefixes(self, where: np.ndarray) -> np.ndarray:
+        """Letters of the words from the given places on, as one number."""
+        out = np.zeros(len(where), np.int64)
         for j in range(LEVELS):
-            out = out << STEP | (self.hashes[self.at[rows] + j] >> np.uint64(64 - STEP)).astype(np.int64)
+            out = out << STEP | (self.hashes[where + j] >> np.uint64(64 - STEP)).astype(np.int64)
         return out
 
 
@@ -86,14 +99,14 @@ def grouped_min(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return order[heads], back, keys[order[heads]], keys[order[tails]]
 
 
-def prefix_counts(s: Suffixes) -> list[tuple[int, int, int]]:
-    """(level, prefix, suffixes): all first words, and longer prefixes where many suffixes share one."""
-    key, out, rows = s.prefixes(np.arange(len(s.at))), [], np.ones(len(s.at), bool)
+def prefix_counts(key: np.ndarray) -> list[tuple[int, int, int]]:
+    """(level, prefix, stretches): all first words, and longer prefixes where many share one."""
+    out, rows = [], np.ones(len(key), bool)
     for level in range(1, LEVELS + 1):
         p = key >> STEP * (LEVELS - level)
         u, n = np.unique(p[rows], return_counts=True)
         out += [(level, int(a), int(b)) for a, b in zip(u, n, strict=True)]
-        heavy = u[n > max(1000, len(s.at) // 64)]
+        heavy = u[n > max(300, len(key) // 64)]
         rows &= np.isin(p, heavy)
     return out
 
@@ -144,18 +157,19 @@ def deep_nodes(context: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(lcp < depth) + 1))
 
 
-def repeats(docs: DataFrame, window: int, gram: int, tag: str, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int, gram: int, tag: str, keep: tuple[str, ...], chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The chunk table, and facts: for each chunk the places of windows repeated from a smaller document of another chunk."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    chunks = chunk_table(docs, tag, keep)
+    chunks = chunk_table(docs, tag, keep, chunk_bytes)
 
     def least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
             s = Suffixes(c, window, gram)
-            values, cut = dealt(np.unique(s.least()), parts)
+            least = s.least()
+            values, cut = dealt(np.unique(arrays.mixed(least)), parts)
             rows = [(c.home, c.number, p, values[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            counts = np.array(prefix_counts(s), np.int64).reshape(-1, 3)
+            counts = np.array(prefix_counts(s.runs(least, np.arange(len(s.at)))[2]), np.int64).reshape(-1, 3)
             yield fact_batch([*rows, (c.home, c.number, -1, counts.tobytes())])
 
     sent = stored(chunks.mapInArrow(least_grams, FACTS), f"{tag}-grams", "none")
@@ -169,7 +183,7 @@ def repeats(docs: DataFrame, window: int, gram: int, tag: str, keep: tuple[str,
     counts = sent.filter("part = -1").select("data").mapInArrow(added, "level long, prefix long, n long")
     # At most 4096 first words and 4096 continuations of each of the heavy ones.
     total = counts.groupBy("level", "prefix").agg(F.sum("n").alias("n")).toArrow()
-    borders = prefix_borders(list(zip(*[total[c].to_pylist() for c in ("level", "prefix", "n")], strict=True)), 2 * parts)
+    borders = prefix_borders(list(zip(*[total[c].to_pylist() for c in ("level", "prefix", "n")], strict=True)), 4 * parts)
     known = stored(repeated_values(sent.filter("part >= 0")), f"{tag}-known")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,44 +192,57 @@ def repeats(docs: DataFrame, window: int, gram: int, tag: str, keep: tuple[str,
             if not len(s.at):
                 continue
             least = s.least()
-            values, cut = dealt(np.unique(least), parts)
+            values, cut = dealt(np.unique(arrays.mixed(least)), parts)
             hit = np.zeros(len(values), bool)
             for p, bits in c.facts.items():
                 n = cut[p + 1] - cut[p]
                 hit[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            left = np.flatnonzero(np.isin(least, values[hit]))
+            left = np.flatnonzero(np.isin(arrays.mixed(least), values[hit]))
             if not len(left):
                 continue
-            first, _, low, _ = grouped_min(s.names()[left], s.key[left])
-            left = left[first]
-            key = s.prefixes(left)
-            order = np.argsort(key, kind="stable")
-            left, low = left[order], low[order]
-            group = np.searchsorted(borders, key[order], "right") - 1
-            context = np.stack([(s.hashes[s.at[left] + j] >> np.uint64(16)).astype(np.uint32) for j in range(window)])
+            row, n, key = s.runs(least, left)
+            start = s.at[row]
+            first, _, low, _ = grouped_min(arrays.spans_hash(s.hashes, start, start + n + window - 1), s.key[row])
+            order = np.argsort(key[first], kind="stable")
+            first, low = first[order], low[order]
+            start, size, key = start[first], n[first] + window - 1, key[first]
+            group = np.searchsorted(borders, key, "right") - 1
+            words = (s.hashes[arrays.ragged(start, size)] >> np.uint64(16)).astype(np.uint32)
+            ends = np.concatenate(([0], np.cumsum(size)))
             heads = np.flatnonzero(np.diff(group, prepend=-1))
             rows = []
             for a, b in zip(heads, np.append(heads[1:], len(group)), strict=True):
-                data = context[:, a:b].tobytes() + low[a:b].tobytes() + left[a:b].astype(np.uint32).tobytes()
+                data = np.array([b - a]).tobytes() + low[a:b].tobytes() + row[first[a:b]].astype(np.uint32).tobytes()
+                data += size[a:b].astype(np.uint32).tobytes() + words[ends[a] : ends[b]].tobytes()
                 rows.append((c.home, c.number, int(group[a]), squeezed(data)))
             yield fact_batch(rows)
 
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, context, low, place = [], [], [], []
+        who, low, place, size, words = [], [], [], [], []
         for batch in batches:
             for home, number, part, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 data = opened(data)
-                n = len(data) // (4 * window + 12)
-                context.append(np.frombuffer(data, np.uint32, n * window).reshape(window, n).T)
-                low.append(np.frombuffer(data, np.int64, n, 4 * n * window))
-                place.append(np.frombuffer(data, np.uint32, n, 4 * n * window + 8 * n))
-                who.append((home, number, part, n))
+                n = int(np.frombuffer(data, np.int64, 1)[0])
+                low.append(np.frombuffer(data, np.int64, n, 8))
+                place.append(np.frombuffer(data, np.uint32, n, 8 + 8 * n))
+                size.append(np.frombuffer(data, np.uint32, n, 8 + 12 * n).astype(np.int64))
+                words.append(np.frombuffer(data, np.uint32, -1, 8 + 16 * n))
+                who.append((home, number, part, int((size[-1] - window + 1).sum())))
         owner = np.repeat(np.arange(len(who)), [w[3] for w in who])
-        context, low, place = np.concatenate(context), np.concatenate(low), np.concatenate(place)
+        size, words = np.concatenate(size), np.concatenate(words)
+        windows = size - window + 1
+        context = np.lib.stride_tricks.sliding_window_view(words, window)[arrays.ragged(np.cumsum(size) - size, windows)]
+        low = np.repeat(np.concatenate(low), windows)
+        place = arrays.ragged(np.concatenate(place).astype(np.int64), windows).astype(np.uint32)
         order = ordered(context)
         heads = deep_nodes(context[order], window)
-        least = np.repeat(np.minimum.reduceat(low[order], heads), np.diff(np.append(heads, len(order))))
-        hit = np.sort(order[low[order] > least])
+        node = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        # Of a node's suffixes from one chunk, the smallest document against the smallest of all.
+        own = order[np.lexsort((owner[order], node))]
+        pair = node * len(who) + owner[own]  # node is as sorted as before
+        firsts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        late = np.minimum.reduceat(low[own], firsts) > np.minimum.reduceat(low[order], heads)[node[firsts]]
+        hit = np.sort(own[firsts[late]])
         cut = np.searchsorted(owner[hit], np.arange(len(who) + 1))
         yield fact_batch([(*w[:3], place[hit[a:b]].tobytes()) for w, a, b in zip(who, cut[:-1], cut[1:], strict=True) if b > a])
 
@@ -255,9 +282,9 @@ def _per_doc(flags: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags)))[cut])
 
 
-def substring_digests(docs: DataFrame, window: int = 13, gram: int = 5, tag: str = "substrings") -> DataFrame:
+def substring_digests(docs: DataFrame, window: int = 13, gram: int = 5, tag: str = "substrings", chunk_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    chunks, found = repeats(docs, window, gram, tag, ())
+    chunks, found = repeats(docs, window, gram, tag, (), chunk_bytes)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
@@ -272,9 +299,9 @@ def substring_digests(docs: DataFrame, window: int = 13, gram: int = 5, tag: str
     return with_facts(chunks, found).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = 13, gram: int = 5, tag: str = "substrings") -> DataFrame:
+def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = 13, gram: int = 5, tag: str = "substrings", chunk_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, text (without the removed words and the white space after each), the columns in ``keep``."""
-    chunks, found = repeats(docs, window, gram, tag, keep)
+    chunks, found = repeats(docs, window, gram, tag, keep, chunk_bytes)
     fields = {f.name: f.dataType.simpleString() for f in docs.select(*[f"`{k}`" for k in keep]).schema} if keep else {}
     schema = ", ".join(["doc_id long", "text string", *[f"`{n}` {t}" for n, t in fields.items()]])
 
