@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import arrays
-from millrace.session import shuffle_partitions
+from millrace.session import scratch, shuffle_partitions
 
 HOMES = 4
 COLUMNS = "home long, chunk long, ids array<long>, cuts array<int>, body binary"
@@ -32,7 +32,7 @@ def opened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def chunk_table(docs: DataFrame, tag: str, keep: tuple[str, ...] = (), most: int = 1 << 21) -> DataFrame:
+def chunk_table(docs: DataFrame, tag: str, keep: tuple[str, ...] = (), most: int = 1 << 20) -> DataFrame:
     """Packs doc_id, text and the columns in ``keep`` (as ``rest``) into chunks of about ``most`` bytes."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long"), "text", *[f"`{k}`" for k in keep])
@@ -69,7 +69,7 @@ def chunk_table(docs: DataFrame, tag: str, keep: tuple[str, ...] = (), most: int
 
     schema = COLUMNS + (f", rest array<struct<{rest}>>" if keep else "")
     name = f"millrace_{tag}_{uuid.uuid4().hex}"
-    writer = plain.mapInArrow(pack, schema).write.option("compression", "none")
+    writer = plain.mapInArrow(pack, schema).write.option("compression", "none").option("path", scratch(spark, tag))
     writer.bucketBy(shuffle_partitions(spark), "home").saveAsTable(name)
     return spark.table(name)
 

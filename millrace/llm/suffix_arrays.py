@@ -90,11 +90,13 @@ class Segments:
 
     def by_shard(self, c: Chunk, own: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, list[list[int]]]]:
         """For each shard: distinct segment texts, their hashes, and which segments have each."""
+        if not len(own):
+            return
         shard = (self.value[own] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         own, shard = own[order], shard[order]
         data = c.data.tobytes()
-        heads = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(own) else []
+        heads = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         for a, b in zip(heads, np.append(heads[1:], len(own)), strict=True):
             texts: dict[bytes, list[int]] = {}
             for i in own[a:b].tolist():
@@ -173,7 +175,7 @@ def shard_answers(rows: list[tuple], length: int, memory: int, base: int) -> lis
     return out
 
 
-def marked(docs: DataFrame, length: int, gram: int, tag: str, memory: int, base: int, keep: tuple[str, ...] = (), chunk_bytes: int = 1 << 21) -> tuple[DataFrame, int, int]:
+def marked(docs: DataFrame, length: int, gram: int, tag: str, memory: int, base: int, keep: tuple[str, ...] = (), chunk_bytes: int = 1 << 20) -> tuple[DataFrame, int, int]:
     """Chunks with the facts that ``removed_bytes`` needs, and the numbers of parts and shards."""
     parts = shuffle_partitions(docs.sparkSession)
     shards = 8 * parts
@@ -225,7 +227,7 @@ def removed_bytes(c: Chunk, s: Segments, parts: int, shards: int) -> np.ndarray:
 
 
 def repeated_byte_digests(
-    docs: DataFrame, length: int = 400, gram: int = 48, memory: int = 64 << 20, base: int = 1 << 22, tag: str = "bytes", chunk_bytes: int = 1 << 21
+    docs: DataFrame, length: int = 400, gram: int = 48, memory: int = 64 << 20, base: int = 1 << 22, tag: str = "bytes", chunk_bytes: int = 1 << 20
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``memory``: bytes of queues in a task before they go to disk."""
     chunks, parts, shards = marked(docs, length, gram, tag, memory, base, (), chunk_bytes)
