@@ -679,7 +679,17 @@ def _(spark, d):
 @query("s8_alerts_digest", "SELECT event_type AS company, count(*) AS n FROM events WHERE user_id = 3 GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events").filter("user_id = 3").select(F.col("event_type").alias("company"), F.col("event_id").cast("string").alias("title"), F.lit("").alias("location"), F.lit("").alias("url"))
-    return sinks.alerts_digest(e).select("company", "n")
+    return sinks.alerts_digest(e).groupBy("company").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "s8_alerts_digest_whole",
+    "SELECT event_type AS company, count(*) AS n, CAST(sum(7 + length(CAST(event_id AS VARCHAR))) AS BIGINT) AS chars FROM events GROUP BY 1",
+)
+def _(spark, d):
+    """All events; the characters of all lines with their breaks."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("company"), F.col("event_id").cast("string").alias("title"), F.lit("").alias("location"), F.lit("").alias("url"))
+    return sinks.alerts_digest(e).groupBy("company").agg(F.sum("n").alias("n"), F.sum(F.length("body") - F.length("company")).alias("chars"))
 
 
 @query(

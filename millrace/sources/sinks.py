@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import month_day
@@ -44,8 +44,15 @@ def write_snapshot(tracker: DataFrame, path: str, date: str) -> None:
     tracker.withColumn("snapshot_date", F.lit(date)).write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
-def alerts_digest(hits: DataFrame) -> DataFrame:
-    """A block of text for each company, in order; subject and body are joined from these rows where they are sent."""
+def alerts_digest(hits: DataFrame, lines: int = 1000) -> DataFrame:
+    """Pieces of text (company, part, block, n, body) of at most ``lines`` lines, each under its company's name;
+    by company, part and block they hold the lines in order. Subject and body are joined from them where they are sent.
+
+    Lines are dealt out by ranges of (company, line), equal ones at random, so that no company meets in one task or row.
+    """
     line = F.concat(F.lit("- "), "title", F.lit(" ["), text_or_empty(F.col("location")), F.lit("] "), text_or_empty(F.col("url")))
-    per = hits.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(line)).alias("_lines"))
-    return per.select("company", "n", F.concat("company", F.lit("\n"), F.array_join("_lines", "\n")).alias("body")).orderBy("company")
+    ranged = hits.select("company", line.alias("_line"), F.rand(8).alias("_salt")).repartitionByRange("company", "_line", "_salt")
+    number = F.row_number().over(Window.partitionBy("company", "part").orderBy("_line"))
+    blocks = ranged.withColumn("part", F.spark_partition_id()).withColumn("block", F.floor((number - 1) / lines))
+    per = blocks.groupBy("company", "part", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_line")).alias("_lines"))
+    return per.select("company", "part", "block", "n", F.concat("company", F.lit("\n"), F.array_join("_lines", "\n")).alias("body")).orderBy("company", "part", "block")
