@@ -985,6 +985,14 @@ def _(spark, d):
     return p.select("page_id", text.norm_ws(F.left("html", F.lit(500))).alias("t"))
 
 
+UNICODE_SPACE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("f2_norm_ws_whole", f"SELECT page_id, trim(regexp_replace(html, '{UNICODE_SPACE}', ' ', 'g')) AS t FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", text.norm_ws(F.col("html")).alias("t"))
+
+
 @query("f14_f15_places", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ', x (Remote)' ELSE c_mktsegment || ', x' END AS place FROM customer")
 def _(spark, d):
     place = text.join_place(F.col("c_mktsegment"), F.lit(""), F.lit("x"))

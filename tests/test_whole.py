@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millrace import bindings
 from millrace.sources import sinks
 
 
@@ -16,3 +17,18 @@ def test_digest_in_pieces(spark):
         want = sorted(f"- {r.title} [] u" for r in hits.collect() if r.company == company)
         own = [r.body.split("\n") for r in sorted(got, key=lambda r: (r.part, r.block)) if r.company == company]
         assert all(b[0] == company for b in own) and [x for b in own for x in b[1:]] == want
+
+
+def test_white_space_of_whole_pages(spark, tmp_path):
+    import duckdb
+
+    spaces = [chr(i) for i in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+    bodies = [c + "a" + c + " b" * 600 + c + "\n" + c + "c" + c for c in spaces] + ["".join(spaces), "", "a\u200b\u180eb"]
+    pages = spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.t for r in bindings.QUERIES["f2_norm_ws_whole"](spark, str(tmp_path)).collect()}
+    kept = lambda t: " ".join("".join(" " if c in spaces else c for c in t).split(" ")).split(" ")
+    assert got == {i: " ".join(w for w in kept(t) if w) for i, t in enumerate(bodies)}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert dict(con.execute(bindings.ORACLES["f2_norm_ws_whole"]).fetchall()) == got
