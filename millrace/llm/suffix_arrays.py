@@ -8,11 +8,14 @@
    whether there are several. In a shard, equal segments repeat as a whole; segments
    that share their hash with different ones are sorted by external induced sorting
    (``induced``), and a window whose common prefix with a neighbour is ``length`` repeats.
+   Segments of a hash that have more than ``heavy`` bytes in all do not go to one shard:
+   their windows, distinct in a chunk, are dealt out by 96-bit hashes of all ``length``
+   bytes, and those that come from two chunks repeat.
 3. Chunks mark the windows, cut the text and give the result.
 
-Shards are about ``1 / (8 * shuffle partitions)`` of the text left; one that is larger
-than memory sorts with its queues on disk. A shard cannot be smaller than the different
-surroundings of one string, so very many near copies of a text meet in a few shards.
+A shard is about ``1 / (8 * shuffle partitions)`` of the text left, and no hash adds more
+than ``heavy`` bytes to one, however many different surroundings a string has. A shard's
+texts, suffix array and common prefixes are in memory; only the sorter's queues go to disk.
 
 Defined results: null texts are empty; repeated rows repeat one another; a text shorter
 than ``length`` loses nothing; an empty table gives an empty result.
@@ -29,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import arrays
-from millrace.llm.chunks import FACTS, Chunk, chunk_table, chunks_in, dealt, fact_batch, opened, repeated_values, squeezed, with_facts
+from millrace.llm.chunks import FACTS, Chunk, chunk_table, chunks_in, dealt, fact_batch, opened, squeezed, with_facts
 from millrace.llm.induced import suffix_array
 from millrace.session import shuffle_partitions, stored
 
 #: Parts of the shards' answers, to tell them from the parts of known hashes.
 ANSWERS = 1 << 24
+#: Parts of the windows of heavy hashes; their answers are above them again.
+WINDOWS = 1 << 25
+SECOND_VALUES = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 class Segments:
@@ -77,16 +83,41 @@ class Segments:
             self.twice[at : at + 2048] = (a.sum(axis=1) > 1) | (b.sum(axis=1) > 1) | apart
         self.value = arrays.mixed(value)
 
-    def candidates(self, c: Chunk, parts: int) -> np.ndarray:
-        """Numbers of the segments whose hash stands in another segment or twice in their own."""
+    def weighed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes and how many bytes their segments have."""
+        distinct, back = np.unique(self.value, return_inverse=True)
+        return distinct, np.bincount(back, self.last - self.first + self.length - 1, len(distinct)).astype(np.uint32)
+
+    def candidates(self, c: Chunk, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the segments whose hash stands in another segment or twice in their own: those to sort,
+        and those of heavy hashes."""
         distinct, back, n = np.unique(self.value, return_inverse=True, return_counts=True)
         values, cut = dealt(distinct, parts)
-        hit = np.zeros(len(values), bool)
+        at = np.searchsorted(distinct, values)
+        known, heavy = n > 1, np.zeros(len(distinct), bool)
         for p, bits in c.facts.items():
             if p < ANSWERS:
-                hit[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[p + 1] - cut[p]).astype(bool)
-        known = np.isin(distinct, values[hit]) | (n > 1)
-        return np.flatnonzero(known[back] | self.twice)
+                own, half = at[cut[p] : cut[p + 1]], len(bits) // 2
+                for marks, part in ((known, bits[:half]), (heavy, bits[half:])):
+                    marks[own] |= np.unpackbits(np.frombuffer(part, np.uint8), count=len(own)).astype(bool)
+        again = known[back] | self.twice
+        return np.flatnonzero(again & ~heavy[back]), np.flatnonzero(again & heavy[back])
+
+    def windows(self, c: Chunk, own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows of some segments, for each which distinct one it is, and the distinct ones'
+        two hashes, by part, with the borders of the parts."""
+        at = arrays.ragged(self.first[own], self.last[own] - self.first[own])
+        if not len(at):
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(np.uint64), none.astype(np.uint32), np.zeros(parts + 1, np.int64)
+        one = arrays.windows_hash(arrays.BYTE_VALUES[c.data], self.length)[at]
+        two = (arrays.windows_hash(SECOND_VALUES[c.data], self.length)[at] >> np.uint64(32)).astype(np.uint32)
+        part = (one % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((two, one, part))
+        at, one, two, part = at[order], one[order], two[order], part[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        return at, np.cumsum(fresh) - 1, one[fresh], two[fresh], np.searchsorted(part[fresh], np.arange(parts + 1))
 
     def by_shard(self, c: Chunk, own: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, list[list[int]]]]:
         """For each shard: distinct segment texts, their hashes, and which segments have each."""
@@ -175,32 +206,80 @@ def shard_answers(rows: list[tuple], length: int, memory: int, base: int) -> lis
     return out
 
 
-def marked(docs: DataFrame, length: int, gram: int, tag: str, memory: int, base: int, keep: tuple[str, ...] = (), chunk_bytes: int = 1 << 20) -> tuple[DataFrame, int, int]:
-    """Chunks with the facts that ``removed_bytes`` needs, and the numbers of parts and shards."""
-    parts = shuffle_partitions(docs.sparkSession)
+def keyed_facts(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows whose data are n values (uint64) and n numbers (uint32): all values, all numbers, the rows' borders."""
+    n = [len(r[3]) // 12 for r in rows]
+    values = np.concatenate([np.frombuffer(r[3], np.uint64, k) for r, k in zip(rows, n, strict=True)])
+    numbers = np.concatenate([np.frombuffer(r[3], np.uint32, k, 8 * k) for r, k in zip(rows, n, strict=True)])
+    return values, numbers, np.cumsum([0, *n])
+
+
+def known_hashes(rows: list[tuple], heavy: int) -> list[tuple]:
+    """Which hashes came from more than one chunk, then which have more than ``heavy`` bytes, as packed bits."""
+    values, sizes, cut = keyed_facts(rows)
+    _, back, n = np.unique(values, return_inverse=True, return_counts=True)
+    hit, large = (n > 1)[back], (np.bincount(back, sizes) > heavy)[back]
+    return [(*r[:3], np.packbits(hit[a:b]).tobytes() + np.packbits(large[a:b]).tobytes()) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+
+
+def window_answers(rows: list[tuple]) -> list[tuple]:
+    """Which windows came from more than one chunk, as packed bits."""
+    one, two, cut = keyed_facts(rows)
+    order = np.lexsort((two, one))
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    hit = np.zeros(len(one), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    return [(*r[:2], r[2] + ANSWERS, np.packbits(hit[a:b]).tobytes()) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+
+
+def fact_rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*[table.column(i).to_pylist() for i in range(4)], strict=True))
+
+
+def segments_sent(chunks: DataFrame, length: int, gram: int, tag: str, heavy: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Facts of the chunks' known hashes, what they send to each part, and the numbers of parts and shards."""
+    parts = shuffle_partitions(chunks.sparkSession)
     shards = 8 * parts
-    chunks = chunk_table(docs, tag, keep, chunk_bytes)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
-            values, cut = dealt(np.unique(Segments(c, length, gram).value), parts)
-            yield fact_batch([(c.home, c.number, p, values[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+            distinct, sizes = Segments(c, length, gram).weighed()
+            values, cut = dealt(distinct, parts)
+            sizes = sizes[np.searchsorted(distinct, values)]
+            yield fact_batch([(c.home, c.number, p, values[a:b].tobytes() + sizes[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
 
-    known = stored(repeated_values(chunks.mapInArrow(hashes, FACTS)), f"{tag}-known")
+    def count(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([fact_batch(known_hashes(fact_rows(table), heavy))])
+
+    known = stored(chunks.mapInArrow(hashes, FACTS).groupBy("part").applyInArrow(count, FACTS), f"{tag}-known")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
             s = Segments(c, length, gram)
+            light, large = s.candidates(c, parts)
             rows = []
-            for shard, texts, values, ids in s.by_shard(c, s.candidates(c, parts), shards):
+            for shard, texts, values, ids in s.by_shard(c, light, shards):
                 rows.append((c.home, c.number, shard, packed_segments(texts, values, [len(i) > 1 for i in ids], [bool(s.twice[i[0]]) for i in ids])))
+            _, _, one, two, cut = s.windows(c, large, parts)
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[p], cut[p + 1]
+                rows.append((c.home, c.number, WINDOWS + p, one[a:b].tobytes() + two[a:b].tobytes()))
             yield fact_batch(rows)
 
+    return known, with_facts(chunks, known).mapInArrow(segments, FACTS), parts, shards
+
+
+def marked(
+    docs: DataFrame, length: int, gram: int, tag: str, memory: int, base: int, keep: tuple[str, ...] = (), chunk_bytes: int = 1 << 20, heavy: int = 4 << 20
+) -> tuple[DataFrame, int, int]:
+    """Chunks with the facts that ``removed_bytes`` needs, and the numbers of parts and shards."""
+    chunks = chunk_table(docs, tag, keep, chunk_bytes)
+    known, sent, parts, shards = segments_sent(chunks, length, gram, tag, heavy)
+
     def answer(table: pa.Table) -> pa.Table:
-        rows = list(zip(*[table.column(i).to_pylist() for i in range(4)], strict=True))
-        return pa.Table.from_batches([fact_batch(shard_answers(rows, length, memory, base))])
+        rows = fact_rows(table)
+        return pa.Table.from_batches([fact_batch(window_answers(rows) if rows[0][2] >= WINDOWS else shard_answers(rows, length, memory, base))])
 
-    sent = with_facts(chunks, known).mapInArrow(segments, FACTS)
     answers = stored(sent.groupBy("part").applyInArrow(answer, FACTS), f"{tag}-answers")
     return with_facts(chunks, known.unionByName(answers)), parts, shards
 
@@ -209,7 +288,17 @@ def removed_bytes(c: Chunk, s: Segments, parts: int, shards: int) -> np.ndarray:
     """Which bytes of a chunk lie in a repeated window."""
     gone = np.zeros(len(c.data) + 1, np.int32)
     if len(s.first):
-        for shard, texts, _, ids in s.by_shard(c, s.candidates(c, parts), shards):
+        light, large = s.candidates(c, parts)
+        starts, number, _, _, cut = s.windows(c, large, parts)
+        if len(starts):
+            again = np.bincount(number) > 1
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                bits = np.frombuffer(c.facts[WINDOWS + ANSWERS + p], np.uint8)
+                again[cut[p] : cut[p + 1]] |= np.unpackbits(bits, count=int(cut[p + 1] - cut[p])).astype(bool)
+            hit = starts[again[number]]
+            gone[hit] += 1
+            gone[hit + s.length] -= 1
+        for shard, texts, _, ids in s.by_shard(c, light, shards):
             data = c.facts.get(shard + ANSWERS)
             if data is None:
                 continue
@@ -227,10 +316,11 @@ def removed_bytes(c: Chunk, s: Segments, parts: int, shards: int) -> np.ndarray:
 
 
 def repeated_byte_digests(
-    docs: DataFrame, length: int = 400, gram: int = 48, memory: int = 64 << 20, base: int = 1 << 22, tag: str = "bytes", chunk_bytes: int = 1 << 20
+    docs: DataFrame, length: int = 400, gram: int = 48, memory: int = 64 << 20, base: int = 1 << 22, tag: str = "bytes", chunk_bytes: int = 1 << 20, heavy: int = 4 << 20
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``memory``: bytes of queues in a task before they go to disk."""
-    chunks, parts, shards = marked(docs, length, gram, tag, memory, base, (), chunk_bytes)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``memory``: bytes of queues in a task before they go to disk;
+    ``heavy``: bytes of one gram hash's segments beyond which its windows are dealt out."""
+    chunks, parts, shards = marked(docs, length, gram, tag, memory, base, (), chunk_bytes, heavy)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_in(batches):
