@@ -26,19 +26,21 @@ from millrace.session import shuffle_partitions
 
 #: Fixed value: what separates words, as in [^\x20\x09-\x0D]+.
 GAPS = r"[\x20\x09-\x0D]+"
-SAMPLES = 32
+SAMPLES = 128
+#: Samples drawn by one row; more make the generated code too long to be compiled.
+WIDTH = 32
 _HALF = float(1 << 32)
 
 
-def _uniforms(term: Column, salt: int) -> tuple[Column, Column]:
+def _uniforms(term: Column, salt: Column) -> tuple[Column, Column]:
     """Two numbers in (0, 1) from the halves of one hash."""
-    h = F.xxhash64(term, F.lit(salt))
+    h = F.xxhash64(term, salt)
     low = (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / _HALF
     high = (F.shiftrightunsigned(h, 32).cast("double") + 0.5) / _HALF
     return low, high
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
     """One long whose minimum over a text's terms is sample ``k``: the order key ln a in the upper
     half, in steps of 2**-24, a hash of (term, t) in the lower."""
     u1, u2 = _uniforms(term, 3 * k)
@@ -105,6 +107,7 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    width = next(w for w in range(WIDTH, 0, -1) if samples % w == 0)
     order = Window.partitionBy("bucket").orderBy("wrap", "ghost", "doc_id", "text")
     rows = (
         by_neighbours(docs)
@@ -122,15 +125,19 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     term = F.when(F.col("word") != "", F.xxhash64("word"))
     counted = terms.groupBy("bucket", "place", "kind", term.alias("term")).agg(F.count(F.lit(1)).alias("weight"))
     logs = counted.select(
-        "bucket", "place", "kind", "term", F.when(F.col("term").isNotNull(), F.ln(F.col("weight").cast("double"))).alias("lw")
+        "bucket", "place", "kind", "term", F.when(F.col("term").isNotNull(), F.ln(F.col("weight").cast("double"))).alias("lw"),
+        F.explode(F.array(*map(F.lit, range(0, samples, width)))).alias("at"),
+    )
+    draw = lambda k: F.when(F.col("lw").isNotNull(), sample(F.col("term"), F.col("lw"), F.col("at") + k))
+    sampled = logs.groupBy("bucket", "place", "kind", "at").agg(*[F.min(draw(k)).alias(f"s{k}") for k in range(width)])
+    low = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in range(width)])
+    prints = sampled.select("bucket", "place", "kind", "at", low.alias("print"))
+    whole = lambda kind: F.concat(
+        *[F.first(F.when((F.col("kind") == kind) & (F.col("at") == at), F.col("print")), ignorenulls=True) for at in range(0, samples, width)]
     )
-    draw = lambda k: F.when(F.col("lw").isNotNull(), sample(F.col("term"), F.col("lw"), k))
-    sampled = logs.groupBy("bucket", "place", "kind").agg(*[F.min(draw(k)).alias(f"s{k}") for k in range(samples)])
-    low = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in range(samples)])
-    prints = sampled.select("bucket", "place", "kind", low.alias("print"))
     side = prints.groupBy("bucket", "place").agg(
-        F.first(F.when(F.col("kind") == 0, F.col("print")), ignorenulls=True).alias("own"),
-        F.first(F.when(F.col("kind") == 1, F.col("print")), ignorenulls=True).alias("changed"),
+        whole(0).alias("own"),
+        whole(1).alias("changed"),
     )
     side = side.withColumn("following", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).filter("changed is not null")
     facts = rows.filter(~F.col("ghost")).select(
