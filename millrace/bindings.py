@@ -710,6 +710,16 @@ def _(spark, d):
     return o.select("o_orderkey", dates.infer_full_date(F.date_format("o_orderdate", "MMM d"), TODAY).alias("found"))
 
 
+@query(
+    "f23_infer_full_date_whole",
+    """WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS dd FROM orders)
+SELECT o_orderkey, CASE WHEN m = 2 AND dd = 29 THEN '' ELSE strftime(make_date(CASE WHEN m * 100 + dd > 615 THEN 1997 ELSE 1998 END, m, CASE WHEN m = 2 THEN least(dd, 28) ELSE dd END), '%Y-%m-%d') || ' 00:00' END AS found FROM o""",
+)
+def _(spark, d):
+    """All orders; 29 February is in neither year and gives ''."""
+    return table(spark, d, "orders").select("o_orderkey", dates.infer_full_date(F.date_format("o_orderdate", "MMM d"), TODAY).alias("found"))
+
+
 @query("f25_n15_coerce_scores", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity / 4.0) AS INT) AS score FROM lineitem WHERE trunc(l_quantity / 4.0) BETWEEN 0 AND 10")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("t").alias("title"), F.lit("").alias("url"), (F.col("l_quantity") / 4.0).cast("string").alias("score"))

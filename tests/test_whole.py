@@ -32,3 +32,12 @@ def test_white_space_of_whole_pages(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert dict(con.execute(bindings.ORACLES["f2_norm_ws_whole"]).fetchall()) == got
+
+
+def test_leap_days(spark, tmp_path):
+    import datetime
+
+    rows = [(1, datetime.date(1996, 2, 29)), (2, datetime.date(1996, 2, 28)), (3, datetime.date(1996, 6, 16))]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.found for r in bindings.QUERIES["f23_infer_full_date_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "1998-02-28 00:00", 3: "1997-06-16 00:00"}
