@@ -738,6 +738,16 @@ def _(spark, d):
     return ordered.carry_last(c, "head", ["conv_id"], "at", "section").select("conv_id", "turn", "section")
 
 
+@query(
+    "g3_carry_section_whole",
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations""",
+)
+def _(spark, d):
+    """The whole text of the last user turn."""
+    c = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("text"))).withColumn("at", F.struct("turn", "role", "text"))
+    return ordered.carry_last(c, "head", ["conv_id"], "at", "section").select("conv_id", "turn", "section")
+
+
 @query("g6_cap_rows", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn <= 2")
 def _(spark, d):
     c = table(spark, d, "conversations").withColumn("at", F.struct("turn", "role", "text"))

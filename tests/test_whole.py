@@ -41,3 +41,10 @@ def test_leap_days(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.found for r in bindings.QUERIES["f23_infer_full_date_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "", 2: "1998-02-28 00:00", 3: "1997-06-16 00:00"}
+
+
+def test_whole_sections(spark, tmp_path):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u" * 90 + "\nend"), (1, 2, "assistant", "a"), (2, 0, "user", "v" * 21)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.section for r in bindings.QUERIES["g3_carry_section_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): None, (1, 1): "u" * 90 + "\nend", (1, 2): "u" * 90 + "\nend", (2, 0): "v" * 21}
