@@ -1069,3 +1069,16 @@ def _(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     return stats.counted(spark.read.parquet(seen), "company")
+
+
+@query("w3_fast_lane_whole", "SELECT lower(event_type) AS company, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    """All events through the fast lane, as new-graduate postings with a URL for each (type, user)."""
+    from millrace.session import scratch
+
+    sent, seen, ck = (scratch(spark, f"fast-lane-{n}") for n in ("sent", "seen", "checkpoint"))
+    e = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    hits = e.select(F.lit("New Grad Engineer").alias("title"), F.lower("event_type").alias("company"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("url"))
+    deliver = lambda df: df.write.mode("append").parquet(sent)
+    alerts.fast_lane(hits, seen, deliver, ck, lambda: datetime.datetime.fromisoformat(NOW)).awaitTermination()
+    return stats.counted(spark.read.parquet(sent).distinct(), "company")

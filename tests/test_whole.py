@@ -48,3 +48,13 @@ def test_whole_sections(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.section for r in bindings.QUERIES["g3_carry_section_whole"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0): None, (1, 1): "u" * 90 + "\nend", (1, 2): "u" * 90 + "\nend", (2, 0): "v" * 21}
+
+
+def test_fast_lane_runs_on_all_users(spark, sf_dir, monkeypatch):
+    from millrace.streaming import alerts
+
+    calls, real = [], alerts.fast_lane
+    monkeypatch.setattr(alerts, "fast_lane", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = {r.company: r.n for r in bindings.QUERIES["w3_fast_lane_whole"](spark, sf_dir).collect()}
+    events = bindings.table(spark, sf_dir, "events")
+    assert calls and got == {r.c: r.n for r in events.groupBy(F.lower("event_type").alias("c")).agg(F.countDistinct("user_id").alias("n")).collect()}
