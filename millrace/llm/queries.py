@@ -1,4 +1,4 @@
-"""The queries opN_<name> of the operators in this subpackage, and their DuckDB SQL."""
+"""The queries opN_<name> of the operators in this subpackage; their DuckDB SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, quality, rollups, sampling, suffix_arrays, suffix_trees, tokens, vectors
+from millrace.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "TOKENIZER", "table"]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,22 +51,6 @@ def op5_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
-OP5_SQL = r"""
-WITH docs AS (
-  SELECT source, lang,
-         CASE WHEN doc_id % 5 = 0 THEN substring(text, CAST(floor(length(text) / 2) AS INT) + 1) ELSE text END AS text
-  FROM documents WHERE doc_id % 7 <> 0),
-v AS (
-  SELECT source, lang, 'words-1' AS tokenizer,
-         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM docs
-  UNION ALL
-  SELECT source, lang, 'runs-2',
-         COALESCE(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0) FROM docs)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM v GROUP BY source, lang, tokenizer
-"""
-
-
 def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -97,4 +84,3 @@ QUERIES = {
     "op9_vector_near_duplicates": op9_vector_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
 }
-ORACLES = {"op5_token_count_rollup": OP5_SQL}

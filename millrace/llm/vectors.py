@@ -1,22 +1,28 @@
 """Near-duplicate embeddings by product quantisation.
 
 1. Equal vectors with one label form a class; classes are compared, never copies.
-2. Coarse centroids and the codebooks of residual subspaces are fitted on a bounded
-   sample (``fit_rows``); every class is indexed: its inverted list, its residual's
-   codes, and the length of what the codes miss.
-3. A class is sent as a query to every list that can hold a partner: a partner lies
-   within ``reach`` (the distance at the cosine threshold), so the query is that near
-   to the border between its own cell and the partner's. These probes are sufficient.
+2. Coarse centroids (their number grows with the square root of the classes) and the
+   codebooks of residual subspaces are fitted on a bounded sample (``fit_rows``); every
+   class is indexed: its inverted list, its residual's codes, and the length of what the
+   codes miss.
+3. Two partners lie within ``reach`` (the distance at the cosine threshold) of one
+   another. If their cells differ, the border between these lies between them, so one of
+   the two is within half of ``reach`` of it. A class is sent as a query to its own list
+   and to each list whose border is that near: for each pair one side asks the other, and
+   no link is lost.
 4. In a list, table look-ups give the distance from the query to each coded item; an
    item stays if that is at most ``reach`` plus the item's coding error, again without
-   loss. What stays is checked by cosine in double precision.
+   loss. What stays is checked by cosine in double precision. A link counts for the
+   query; it counts for the item too where the item's probes do not hold the query's list.
 5. Tasks give link counts and spanning forests; components are found over these.
 
-A long list is cut into blocks of items that are searched apart.
+A long list is cut into blocks of items that are searched apart. Vectors travel in the
+type they came in (four bytes a component for floats).
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite
 component, and rows with a null label or vec_id, link with nothing; vectors of
-different length never link; repeated rows are copies of one class.
+different length never link; repeated rows are copies of one class; columns other than
+vec_id, embedding and label are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,24 +50,20 @@ class Index:
     spaces: list[np.ndarray]
     books: list[np.ndarray]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, coding error, and squared distances to all centroids."""
+    def encode(self, x: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """List, codes, coding error, and the lists to probe: the own one and those whose border is within ``near``."""
         far = distances(x, self.centroids)
         own = far.argmin(axis=1)
+        apart = np.sqrt(distances(self.centroids[own], self.centroids))
+        border = far - far[np.arange(len(own)), own][:, None] <= 2 * apart * (near + EPS)
+        border[np.arange(len(own)), own] = True
         rest = x - self.centroids[own]
         codes, missed = np.zeros((len(x), len(self.spaces)), np.uint8), np.zeros(len(x))
         for j, (dims, book) in enumerate(zip(self.spaces, self.books, strict=True)):
             d = distances(rest[:, dims], book)
             codes[:, j] = d.argmin(axis=1)
             missed += d.min(axis=1)
-        return own, codes, np.sqrt(missed), far
-
-    def probes(self, own: np.ndarray, far: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists can hold a vector within ``reach``: by distance to the cell borders."""
-        apart = np.sqrt(distances(self.centroids, self.centroids))[own]
-        border = far - far[np.arange(len(own)), own][:, None] <= 2 * apart * (reach + EPS)
-        border[np.arange(len(own)), own] = True
-        return border
+        return own, codes, np.sqrt(missed), [np.flatnonzero(p) for p in border]
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -69,41 +71,53 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, in portions of bounded size."""
+    step = portion(len(c))
+    return np.concatenate([distances(x[i : i + step], c).argmin(axis=1) for i in range(0, len(x), step)])
+
+
+def portion(cells: int) -> int:
+    """Rows whose distances to all centroids fill some 32 MB."""
+    return max(16, (1 << 22) // cells)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = distances(x, c).argmin(axis=1)
+        own = nearest(x, c)
         n = np.bincount(own, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        c[n > 0] = sums[n > 0] / n[n > 0][:, None]
+        order = np.argsort(own, kind="stable")
+        sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[n > 0], axis=0)
+        c[n > 0] = sums / n[n > 0][:, None]
     return c
 
 
-def unit_rows(raw: list[bytes], width: int) -> np.ndarray:
-    """Vectors as double-precision rows of length 1, filled up with zeros."""
+def unit_rows(raw: list[bytes], width: int, kind: str) -> np.ndarray:
+    """Vectors of type ``kind`` (<f4 or <f8) as double-precision rows of length 1, filled up with zeros."""
     x = np.zeros((len(raw), width))
     for i, r in enumerate(raw):
-        v = np.frombuffer(r, "<f8")
+        v = np.frombuffer(r, kind)
         x[i, : len(v)] = v
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_index(classes: DataFrame, width: int, fit_rows: int = 16384, subspaces: int = 8, codes: int = 64) -> Index:
-    """Fits on at most ``fit_rows`` classes, picked by hash."""
+def fit_index(classes: DataFrame, n: int, width: int, kind: str, fit_rows: int = 32768, subspaces: int = 8, codes: int = 64) -> Index:
+    """Fits on at most ``fit_rows`` of the ``n`` classes, picked by hash: 4 sqrt(n) cells, and no more than a
+    quarter of the rows (8,192)."""
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("raw").toArrow()["raw"].to_pylist()
     if not sample:
         return Index(np.zeros((1, max(width, 1))), [], [])
-    x = unit_rows(sample, width)
-    centroids = k_means(x, max(1, min(256, len(x) // 64)))
-    rest = x - centroids[distances(x, centroids).argmin(axis=1)]
+    x = unit_rows(sample, width, kind)
+    centroids = k_means(x, max(1, min(int(4 * np.sqrt(n)), len(x) // 4)))
+    rest = x - centroids[nearest(x, centroids)]
     spaces = [s for s in np.array_split(np.arange(width), subspaces) if len(s)]
     return Index(centroids, spaces, [k_means(rest[:, s], min(codes, len(x))) for s in spaces])
 
 
-def prepared(vectors: DataFrame) -> DataFrame:
-    """vec_id, node (null: links with nothing), label, dim, raw (doubles)."""
+def prepared(vectors: DataFrame, kind: str, seed: int) -> DataFrame:
+    """vec_id, node (null: links with nothing), label, dim, raw (of type ``kind``)."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,21 +131,46 @@ def prepared(vectors: DataFrame) -> DataFrame:
             for i, label in enumerate(labels.to_pylist()):
                 v = flat[edges[i] : edges[i + 1]] + 0.0
                 fine = not bad[i] and len(v) and not hole[edges[i] : edges[i + 1]].any() and np.isfinite(v).all() and v.any()
-                if fine:
+                if fine and kind == "<f8":
                     v = v / np.abs(v).max()  # lengths neither overflow nor vanish
-                data = v.astype("<f8").tobytes() if fine else None
+                data = v.astype(kind).tobytes() if fine else None
                 raw.append(data)
                 dim.append(len(v) if fine else None)
-                node.append(xxhash.xxh3_64_intdigest(data, seed=hash(label) & 0xFFFFFFFF) - (1 << 63) if fine else None)
+                node.append(xxhash.xxh3_64_intdigest(data + label.to_bytes(8, "little", signed=True), seed=seed) - (1 << 63) if fine else None)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(node, pa.int64()), labels, pa.array(dim, pa.int32()), pa.array(raw, pa.binary())],
                 names=["vec_id", "node", "label", "dim", "raw"],
             )
 
-    plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
+    width = "float" if kind == "<f4" else "double"
+    plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{width}>"), F.col("label").cast("long"))
     return plain.mapInArrow(clean, "vec_id long, node long, label long, dim int, raw binary")
 
 
+def vector_classes(vectors: DataFrame, kind: str, tag: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """The prepared rows; one row for each different vector of a label; their number and greatest width.
+
+    Vectors are told apart by a 64-bit hash; were two different ones to share it, the rows are hashed anew.
+    """
+    for seed in range(8):
+        rows = stored(prepared(vectors, kind, seed), f"{tag}-rows")
+        own = F.struct("label", "raw")
+        classes = stored(
+            rows.filter("node is not null")
+            .groupBy("node")
+            .agg(
+                F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("dim").alias("dim"),
+                F.min(own).alias("own"), (F.min(own) != F.max(own)).alias("clash"),
+            )
+            .select("node", "first_id", "copies", "dim", "own.label", "own.raw", "clash"),
+            f"{tag}-classes",
+        )
+        n, width, clash = classes.agg(F.count(F.lit(1)), F.max("dim"), F.max("clash")).first()
+        if not clash:
+            return rows, classes.drop("clash"), n, width or 0
+    raise RuntimeError("different vectors shared a hash eight times")
+
+
 def pair_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n points the smallest point of its component over pairs (a, b)."""
     label = np.arange(n)
@@ -146,60 +185,66 @@ def pair_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def search(index: Index, list_id: int, width: int, items: tuple, queries: tuple, reach: float, threshold: float, step: int = 512) -> Iterator[tuple]:
-    """Rows (a, b, links) for the queries of one block of a list."""
-    node_i, copies, codes, missed, raw_i = items
-    node_q, raw_q = queries
-    x = unit_rows(raw_i, width)
-    for at in range(0, len(node_q), step):
-        q = unit_rows(raw_q[at : at + step], width)
-        own = node_q[at : at + step]
-        rest = q - index.centroids[list_id]
-        adc = np.zeros((len(q), len(x)))
-        for j, (dims, book) in enumerate(zip(index.spaces, index.books, strict=True)):
-            adc += distances(rest[:, dims], book)[:, codes[:, j]]
-        i, j = np.nonzero(np.sqrt(adc) <= reach + missed[None, :] + EPS)
-        keep = own[i] != node_i[j]
+class Block:
+    """The items of one block of a list, ready to be searched."""
+
+    def __init__(self, index: Index, list_id: int, width: int, kind: str, rows: list[dict]) -> None:
+        self.index, self.list_id, self.width, self.kind = index, list_id, width, kind
+        self.node = np.array([r["node"] for r in rows], np.int64)
+        self.copies = np.array([r["copies"] for r in rows], np.int64)
+        self.missed = np.array([r["missed"] for r in rows])
+        self.codes = np.frombuffer(b"".join(r["codes"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.x = unit_rows([r["raw"] for r in rows], width, kind)
+        sizes = [len(r["probes"]) for r in rows]
+        self.asks = np.repeat(np.arange(len(rows)), sizes) * len(index.centroids) + np.concatenate([r["probes"] for r in rows]).astype(np.int64)
+
+    def search(self, rows: list[dict], reach: float, threshold: float) -> Iterator[tuple]:
+        """(a, b, links) for some queries: link counts (b null) of both sides, and forest edges."""
+        q = unit_rows([r["raw"] for r in rows], self.width, self.kind)
+        own = np.array([r["node"] for r in rows], np.int64)
+        copies = np.array([r["copies"] for r in rows], np.int64)
+        home = np.array([r["home"] for r in rows], np.int64)
+        rest = q - self.index.centroids[self.list_id]
+        adc = np.zeros((len(q), len(self.x)))
+        for j, (dims, book) in enumerate(zip(self.index.spaces, self.index.books, strict=True)):
+            adc += distances(rest[:, dims], book)[:, self.codes[:, j]]
+        i, j = np.nonzero(np.sqrt(adc) <= reach + self.missed[None, :] + EPS)
+        keep = own[i] != self.node[j]
         i, j = i[keep], j[keep]
         hit = np.zeros(len(i), bool)
         for c in range(0, len(i), 1 << 16):
-            hit[c : c + (1 << 16)] = (q[i[c : c + (1 << 16)]] * x[j[c : c + (1 << 16)]]).sum(axis=1) >= threshold
+            hit[c : c + (1 << 16)] = (q[i[c : c + (1 << 16)]] * self.x[j[c : c + (1 << 16)]]).sum(axis=1) >= threshold
         i, j = i[hit], j[hit]
         if not len(i):
-            continue
-        count = np.bincount(i, copies[j], len(q)).astype(np.int64)
+            return
+        # Inside a list both sides ask; from another list the item may not ask back.
+        back = (home[i] != self.list_id) & ~np.isin(j * len(self.index.centroids) + home[i], self.asks)
+        nodes = np.concatenate((own, self.node))
+        count = np.concatenate((np.bincount(i, self.copies[j], len(q)), np.bincount(j[back], copies[i[back]], len(self.x)))).astype(np.int64)
         for k in np.flatnonzero(count):
-            yield int(own[k]), None, int(count[k])
-        both = np.concatenate((own, node_i))
-        root = pair_roots(i, j + len(q), len(both))
+            yield int(nodes[k]), None, int(count[k])
+        root = pair_roots(i, j + len(q), len(nodes))
         for k in np.flatnonzero(root != np.arange(len(root))):
-            yield int(both[k]), int(both[root[k]]), None
+            yield int(nodes[k]), int(nodes[root[k]]), None
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 4096, fit_rows: int = 16384, tag: str = "pq") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 4096, fit_rows: int = 32768, tag: str = "pq") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    rows = stored(prepared(vectors), f"{tag}-rows")
-    classes = stored(
-        rows.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw")),
-        f"{tag}-classes",
-    )
-    width = classes.agg(F.max("dim")).first()[0] or 0
-    index = fit_index(classes, width, fit_rows)
-    model = spark.sparkContext.broadcast(index)  # bounded: 256 centroids and 8 books of 64
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows, classes, n, width = vector_classes(vectors, kind, tag)
+    index = fit_index(classes, n, width, kind, fit_rows)
+    model = spark.sparkContext.broadcast(index)  # bounded: a quarter of fit_rows centroids and 8 books of 64
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index_ = model.value
+        step = portion(len(index_.centroids))
         for batch in batches:
             raw = batch.column(batch.schema.get_field_index("raw"))
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = unit_rows(raw.slice(at, 2048).to_pylist(), width)
-                own, codes, missed, far = model.value.encode(x)
-                probe = model.value.probes(own, far, reach)
-                lists = [np.flatnonzero(p).tolist() for p in probe]
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own, codes, missed, lists = index_.encode(unit_rows(raw.slice(at, step).to_pylist(), width, kind), reach / 2)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), pa.array(lists, pa.list_(pa.int32()))],
                     names=[*part.schema.names, "list", "codes", "missed", "probes"],
@@ -216,27 +261,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 4096,
     sizes = stored(sizes.select(*[F.col(c).alias(f"_{c}") for c in group], "blocks"), f"{tag}-lists")
     at_list = lambda c: (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col(c) == F.col("_list"))
     items = coded.join(sizes, at_list("list")).select(
-        *group, F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "node", "copies", "codes", "missed", "raw"
-    )
-    asked = coded.select("label", "dim", F.explode("probes").alias("probe"), "node", "raw")
+        *group, F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "node", "copies", "raw", "codes", "missed", "probes",
+        F.lit(None).cast("int").alias("home"),
+    )
+    asked = coded.select("label", "dim", F.explode("probes").alias("probe"), "node", "copies", "raw", F.col("list").alias("home"))
     queries = asked.join(sizes, at_list("probe")).select(
         "label", "dim", F.col("probe").alias("list"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
-        "node", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("missed"), "raw",
+        "node", "copies", "raw", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("missed"),
+        F.lit(None).cast("array<int>").alias("probes"), "home",
     )
     keys = [*group, "block"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come one after another, items before queries; queries are searched in portions."""
         key, items_, asked_, out = None, [], [], []
+        found_block: list[Block] = []
 
         def run() -> None:
             if items_ and asked_:
-                node, copies, codes, missed, raw = zip(*items_, strict=True)
-                codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(node), -1)
-                own, vectors_ = zip(*asked_, strict=True)
-                out.extend(
-                    search(model.value, key[2], width, (np.array(node), np.array(copies), codes, np.array(missed), list(raw)), (np.array(own), list(vectors_)), reach, threshold)
-                )
+                if not found_block:
+                    found_block.append(Block(model.value, key[2], width, kind, items_))
+                for i in range(0, len(asked_), 512):
+                    out.extend(found_block[0].search(asked_[i : i + 512], reach, threshold))
             asked_.clear()
 
         def made() -> pa.RecordBatch:
@@ -245,18 +291,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 4096,
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b", "links"])
 
         for batch in batches:
-            c = batch.to_pydict()
-            for k, kind, node, copies, codes, missed, raw in zip(
-                zip(*[c[x] for x in keys], strict=True), c["kind"], c["node"], c["copies"], c["codes"], c["missed"], c["raw"], strict=True
-            ):
+            for row in batch.to_pylist():
+                k = tuple(row[x] for x in keys)
                 if k != key:
                     run()
                     key = k
                     items_.clear()
-                if kind == 0:
-                    items_.append((node, copies, codes, missed, raw))
+                    found_block.clear()
+                if row["kind"] == 0:
+                    items_.append(row)
                 else:
-                    asked_.append((node, raw))
+                    asked_.append(row)
                     if len(asked_) >= 2048:
                         run()
             yield made()

@@ -94,6 +94,7 @@ def test_vectors(spark, block):
     rows = [(i, [float(x) for x in base[i % 30] + rng.normal(size=12) * rng.choice([0, 0.02, 0.15])], int(i % 3)) for i in range(200)]
     rows += [(300, None, 1), (301, [], 1), (302, [0.0] * 12, 1), (303, [None, *[1.0] * 11], 1), (304, [float("nan")] * 12, 1), (305, [1.0] * 12, None), (306, [1.0] * 3, 1), (307, [1.0, 1.0, 1.001], 1), (None, [1.0] * 12, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    df = df.selectExpr("*", "vec_id as node", "'x' as raw", "1 as home", "2 as copies", "3 as list", "4 as id")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in vectors.near_vectors(df, block=block, fit_rows=128).collect())
     assert got == brute_vectors(df.collect())
     assert vectors.near_vectors(df.limit(0)).count() == 0
@@ -112,13 +113,3 @@ def test_rollup_is_idempotent(spark):
     assert sum(r.n_docs for r in one) == docs.count()
     assert roll.commit("b", rollups.signed(counts, F.lit(-1))) and roll.totals().count() == 0
     assert roll.commit("none", rollups.signed(counts.limit(0), F.lit(1))) and roll.version() == 3
-
-
-def test_op5_sql(spark, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
-    want = {tuple(r) for r in con.execute(queries.OP5_SQL).fetchall()}
-    got = {(r.source, r.lang, r.tokenizer, r.n_docs, r.n_tokens) for r in queries.op5_token_count_rollup(spark, sf_dir).collect()}
-    assert got == want
