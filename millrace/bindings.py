@@ -604,6 +604,59 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", urls.clean_url(F.col("url")).alias("url"))
 
 
+_ENCODED = """replace(replace(replace(replace(replace(url_encode({c}), '%3A', ':'), '%2F', '/'), '%2C', ','), '%3B', ';'), '%3D', '=')"""
+
+
+@query(
+    "f6_clean_url_encoded",
+    f"""WITH u AS (SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) || '?a=b+c&k&%75tm_x=1&REF=2&q=%E2%82%AC*~/:' || page_id AS url FROM pages),
+p AS (SELECT page_id, url, split_part(url, '?', 1) AS path, list_transform(string_split(split_part(url, '?', 2), '&'), lambda x: struct_pack(
+  k := url_decode(replace(split_part(x, '=', 1), '+', ' ')),
+  v := url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, instr(x, '=') + 1) ELSE '' END, '+', ' ')))) AS a FROM u),
+k AS (SELECT page_id, path, list_filter(a, lambda x: NOT regexp_matches(x.k, '(?i)^(utm_.*|ref)$')) AS b FROM p)
+SELECT page_id, path || '?' || array_to_string(list_transform(b, lambda x: {_ENCODED.format(c="x.k")} || '=' || {_ENCODED.format(c="x.v")}), '&') AS url FROM k""",
+)
+def _(spark, d):
+    """F6 where names and values are encoded in other ways than the one the rule gives."""
+    path = F.split_part(F.split_part(F.col("url"), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    url = F.concat(path, F.lit("?a=b+c&k&%75tm_x=1&REF=2&q=%E2%82%AC*~/:"), F.col("page_id").cast("string"))
+    return table(spark, d, "pages").select("page_id", urls.clean_url(url).alias("url"))
+
+
+@query(
+    "f1_character_references",
+    """SELECT doc_id, '’' || COALESCE(source, '') || ' – ç ♥ &#39; & < ' || doc_id || chr(CAST(192 + doc_id % 1000 AS INT)) AS text FROM documents""",
+)
+def _(spark, d):
+    """references by number and by name, decoded once."""
+    raw = F.concat(
+        F.lit("&#8217;"), F.coalesce("source", F.lit("")), F.lit(" &#x2013; &ccedil; &hearts; &amp;#39; &#38; &lt; "), F.col("doc_id").cast("string"),
+        F.lit("&#"), (F.lit(192) + F.col("doc_id") % 1000).cast("string"), F.lit(";"),
+    )
+    return table(spark, d, "documents").select("doc_id", text.unescape(raw).alias("text"))
+
+
+@query(
+    "f9_cell_urls_decoded",
+    """SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1), lambda x: replace(x, '&amp;', '&')), [url || '?a=1&b=2']) AS links FROM pages""",
+)
+def _(spark, d):
+    """hrefs, then a Markdown link that carries a reference."""
+    cell = F.concat("html", F.lit("[x]("), "url", F.lit("?a=1&amp;b=2)"))
+    return table(spark, d, "pages").select("page_id", urls.cell_urls(cell).alias("links"))
+
+
+@query(
+    "a9_company_matches",
+    f"""WITH {KEYED} SELECT CAST(ord % 11 AS INT) AS score, left(COALESCE(title, ''), 44) AS title, left(COALESCE(location, ''), 30) AS location
+FROM keyed WHERE contains(lower(company), 'src1') AND ord % 5 = 0 ORDER BY score DESC, title""",
+)
+def _(spark, d):
+    """The matches of the companies asked for, best first."""
+    m = joins.with_fingerprint(b1(spark, d)).filter("ord % 5 = 0").withColumn("score", (F.col("ord") % 11).cast("int"))
+    return stats.company_matches(m, "SRC1")
+
+
 @query("f1_html_to_text")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))

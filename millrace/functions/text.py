@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +39,33 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in cols], F.lit(""))
 
 
+@cache
+def _references() -> str:
+    """JSON of what rarer named references stand for, and the numbers 128 to 159, which pages mean as Windows-1252."""
+    named = {n[:-1]: v for n, v in html5.items() if n.endswith(";") and f"&{n}" not in ENTITIES}
+    old = {str(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+    return json.dumps({k: v.replace("&", "&amp;") for k, v in (named | old).items() if v})
+
+
+def _decoded(piece: Column) -> Column:
+    """A piece that begins with a reference, with that reference decoded; "&" itself stays "&amp;"."""
+    get = lambda pattern: F.regexp_extract(piece, pattern, 1)
+    table = F.from_json(F.lit(_references()), "map<string,string>")
+    hexed, digits, name = get(r"^&#[xX]0*([0-9a-fA-F]*)"), get(r"^&#0*([0-9]*)"), get(r"^&([A-Za-z][A-Za-z0-9]{1,31});")
+    number = F.when(piece.rlike("^&#[xX]"), F.when(F.length(hexed) <= 6, F.conv(hexed, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
+    number = F.when(number == "", "0").otherwise(number).try_cast("long")
+    wrong = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    made = F.when(wrong, "\ufffd").when(number == 38, "&amp;").otherwise(F.coalesce(F.try_element_at(table, number.cast("string")), char))
+    rest = F.regexp_replace(piece, r"^&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?", "")
+    named = F.when(name != "", F.try_element_at(table, name))
+    return F.when(piece.rlike(r"^&#([xX][0-9a-fA-F]|[0-9])"), F.concat(made, rest)).when(named.isNotNull(), F.concat(named, rest)).otherwise(piece)
+
+
 def unescape(c: Column) -> Column:
-    """The common named entities; the ampersand last."""
+    """Character references, by number or by name, decoded once; the ampersand last."""
+    pieces = F.split(c, r"(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z]))")
+    c = F.when(c.rlike("&[#A-Za-z]"), F.array_join(F.transform(pieces, _decoded), "")).otherwise(c)
     for name, value in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(value))
     return c
@@ -50,7 +79,7 @@ def squeezed_lines(c: Column) -> Column:
 
 def html_to_text(c: Column, limit: int = MAX_CHARS) -> Column:
     """contents of script, style and head dropped; line breaks where br and hr open and p, li, div, tr
-    and headings close; other tags and comments dropped; entities decoded. The regex form is
+    and headings close; other tags and comments dropped; all character references decoded. The regex form is
     the contract for malformed input."""
     c = text_or_empty(c)
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")

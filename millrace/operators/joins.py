@@ -21,7 +21,7 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
 def new_postings(df: DataFrame, seen: DataFrame) -> DataFrame:
     """Postings whose fingerprint is not in ``seen`` (column fp), against the whole set at any age."""
     keyed = df if "fp" in df.columns else with_fingerprint(df)
-    return keyed.join(seen.select("fp").distinct(), "fp", "left_anti")
+    return keyed.join(seen.select("fp"), "fp", "left_anti")
 
 
 def insert_new(tracker: DataFrame, rows: DataFrame, now: str, order: str = "ord") -> DataFrame:
@@ -38,13 +38,13 @@ def scrape_matches(postings: DataFrame, matches: DataFrame) -> DataFrame:
 
 def suppress_active_alerts(hits: DataFrame, active: DataFrame) -> DataFrame:
     """Companies without an active alert, whatever their case."""
-    on = active.select(F.lower("company").alias("_c")).distinct()
+    on = active.select(F.lower("company").alias("_c"))
     return hits.join(on, F.lower(F.col("company")) == F.col("_c"), "left_anti")
 
 
 def fresh_fast_lane(hits: DataFrame, seen: DataFrame) -> DataFrame:
     """Exact URL not among the seen ones; rows without a URL are always fresh."""
-    on = seen.select(F.col("url").alias("_u")).filter("_u <> ''").distinct()
+    on = seen.select(F.col("url").alias("_u")).filter("_u <> ''")
     return hits.join(on, F.col("url") == F.col("_u"), "left_anti")
 
 

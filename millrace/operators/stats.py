@@ -91,6 +91,14 @@ def progress(postings: DataFrame, seen: DataFrame, matches: DataFrame, rules: Ga
     )
 
 
+def company_matches(matches: DataFrame, name: str) -> DataFrame:
+    """The matches of companies whose name contains ``name``, whatever its case: score, title (44 characters) and
+    location (30), highest whole score first."""
+    mine = matches.filter(F.lower("company").contains(name.lower()))
+    shown = mine.select("score", F.left(F.coalesce("title", F.lit("")), F.lit(44)).alias("title"), F.left(F.coalesce("location", F.lit("")), F.lit(30)).alias("location"))
+    return shown.orderBy(F.floor(F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))).desc(), "title")
+
+
 def company_detail(postings: DataFrame, seen: DataFrame, matches: DataFrame, name: str) -> DataFrame:
     """Counts for companies whose name contains ``name``, whatever its case."""
     mine = lambda d: d.filter(F.lower("company").contains(name.lower()))

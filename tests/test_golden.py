@@ -210,3 +210,14 @@ def test_rules_are_whole():
     assert len(set(rules.LOCATION_DENY)) == len(rules.LOCATION_DENY)
     assert [len(v) for v in rules.TITLE_REJECT.values()] == [18, 3, 3, 6, 3, 6]
     assert len(rules.EXPORT_COLUMNS) == 19
+
+
+def test_references_and_queries(spark):
+    for raw, want in [
+        ("a&#8217;b &#x2013; &ccedil; &amp;#39; &#38;lt; &lt;b&gt; &#150;", "a’b – ç &#39; &lt; <b> –"),
+        ("&#0; &#xD800; &#99999999999; &nosuchname; & x &AMP; &hearts;&#65", "\ufffd \ufffd \ufffd &nosuchname; & x & ♥A"),
+    ]:
+        assert one(spark, raw, text.unescape) == want
+    assert one(spark, "https://x.io/j?a=b+c&k&utm_x=1", urls.clean_url) == "https://x.io/j?a=b%20c&k="
+    assert one(spark, "https://x.io/j?%75tm_source=1&id=2", urls.clean_url) == "https://x.io/j?id=2"
+    assert one(spark, "https://x.io/j?q=1+2&k", urls.clean_url) == "https://x.io/j?q=1+2&k"
