@@ -15,6 +15,7 @@ eight int64: offsets and lengths of the three, number of ids, plane kind (1 or 8
 from __future__ import annotations
 
 import io
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -66,6 +67,16 @@ def cut_at_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+def splits_at_words(made: dict) -> bool:
+    """Whether a tokenizer is one that may be given word by word: byte-level BPE with the usual split, without a
+    normaliser, and with added tokens that can be told by "<|". All others get whole texts."""
+    model, split = made["model"], made.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    told = all("<|" in t["content"] and not t.get("lstrip") and not t.get("rstrip") for t in made.get("added_tokens", []))
+    return bool(model["type"] == "BPE" and plain and usual and told and not made.get("normalizer") and not made.get("truncation"))
+
+
 class Encoder:
     """Encodes batches of texts; remembers ids of up to ``most`` distinct words by 64-bit hash."""
 
@@ -75,6 +86,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = splits_at_words(json.loads(self.tokenizer.to_str()))
         self.most = most
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.forget()
@@ -128,6 +140,9 @@ class Encoder:
         data, offsets = arrays.text_bytes(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         if self.n > self.most:
             self.forget()
         starts = cut_at_spaces(data, offsets)
@@ -283,8 +298,10 @@ def write_id_files(
     """Files of ids in ascending doc_id order (nulls first) under ``path``; gives the manifest: file
     (part), path, n_docs, n_ids, and ``before``, the ids in all files before it.
 
-    One shuffle by ranges of doc_id. A file is written under another name and renamed,
-    so a repeated task leaves one whole file. The manifest has a row a file.
+    One shuffle by ranges of doc_id. A file's name carries the attempt that wrote it and
+    the manifest, a row a file, names the attempts that ended: a repeated task writes
+    beside what a lost one left and nothing is renamed. A text longer than a piece (1 MB)
+    is encoded by itself; chunks of ids do not follow texts.
 
     Defined results: a null or empty text has only the end id; equal doc_ids are
     ordered by text; an empty table gives a manifest without rows.
@@ -296,10 +313,10 @@ def write_id_files(
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        name, n_docs, writer = f"{root}/ids-{part:06d}", 0, None
+        name, n_docs, writer = f"ids-{part:06d}-{attempt}.ids", 0, None
         for batch, ids, offsets in encoded(batches, tokenizer, end_id):
             if writer is None:
-                out = store.open_output_stream(f"{name}.{attempt}")
+                out = store.open_output_stream(f"{root}/{name}")
                 writer = IdWriter(out, chunk_ids, kind, level)
             key = batch.column(0)
             writer.add(key.fill_null(0).to_numpy(zero_copy_only=False), key.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), ids)
@@ -307,16 +324,15 @@ def write_id_files(
         if writer is not None:
             n_ids = writer.close()
             out.close()
-            store.move(f"{name}.{attempt}", f"{name}.ids")
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     files = stored(
-        parts.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part long, n_docs long, n_ids long"), "id-manifest"
+        parts.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part long, name string, n_docs long, n_ids long"), "id-manifest"
     )
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select(
         "part",
-        F.concat(F.lit(f"{path}/ids-"), F.lpad(F.col("part").cast("string"), 6, "0"), F.lit(".ids")).alias("path"),
+        F.concat(F.lit(f"{path}/"), "name").alias("path"),
         "n_docs",
         "n_ids",
         F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"),

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from millrace.llm import tokens
 from millrace.llm.queries import TOKENIZER
@@ -73,3 +73,28 @@ def test_packing(spark, plain):
 def test_empty(spark):
     assert tokens.id_file_digests(awkward.empty(spark), TOKENIZER).count() == 0
     assert tokens.packed_pieces(awkward.empty(spark), TOKENIZER).count() == 0
+
+
+def test_tokenizers_of_other_kinds(tmp_path):
+    """One that lower-cases first must get whole texts; the ids are the library's either way."""
+
+
+    usual = Tokenizer.from_file(TOKENIZER)
+    usual.normalizer = normalizers.Lowercase()
+    usual.save(str(tmp_path / "lower.json"))
+    texts = ["Some  TEXT here's", None, "", "é İ " * 5, "x" * 1200 + " <|end|> y"]
+    for path, by_words in ((str(tmp_path / "lower.json"), False), (TOKENIZER, True)):
+        enc = tokens.Encoder(path)
+        assert enc.by_words is by_words
+        ids, sizes = enc.encode(pa.array(texts, pa.string()))
+        want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_text_longer_than_a_piece(spark):
+    long = " ".join(f"word{i % 977} {i}" for i in range(130_000))
+    docs = spark.createDataFrame([(1, "a b"), (2, long), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in tokens.id_file_digests(docs, TOKENIZER).collect()}
+    ids = tokens.encoder(TOKENIZER).tokenizer.encode(long, add_special_tokens=False).ids
+    assert len(long) > 1 << 20 and got[2].n_tokens == len(ids) + 1 and got[3].start == got[2].start + got[2].n_tokens
+    assert got[2].ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
