@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stored
+from millrace.session import shuffle_partitions, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """k, its least neighbour m, and its number of neighbours; counted before the shuffle and after."""
+    return edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _met(edges: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
+    """Edges (a, b) with m of their a. Edges of a hub, a node of more than ``heavy``, stay where they are and
+    its m comes to them; there are no more hubs than shuffle partitions."""
+    hubs = F.broadcast(least.filter(F.col("n") > heavy).select(F.col("k").alias("_h"), F.col("m").alias("_m")))
+    tagged = edges.join(hubs, F.col("a") == F.col("_h"), "left")
+    light = tagged.filter("_h is null").select("a", "b").join(least.filter(F.col("n") <= heavy), F.col("a") == F.col("k")).select("a", "b", "m")
+    return tagged.filter("_h is not null").select("a", "b", F.col("_m").alias("m")).unionByName(light)
+
+
+def _large_star(edges: DataFrame, heavy: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    met = _met(both.filter("b > a"), _least(both), heavy)
+    return met.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, heavy: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-    moved = down.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(down)
+    moved = _met(down, least, heavy).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -25,8 +39,8 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
     """node, root (smallest node reached) for every node of the edges (a, b: long).
 
     Rounds are stored, so a lost executor costs one round; the number of rounds grows
-    with the logarithm of the longest chain. A node with very many neighbours is met
-    by map-side minima and a join that adaptive execution can split.
+    with the logarithm of the longest chain. A node with more neighbours than two partitions
+    have edges is a hub: its minimum is broadcast to its edges.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -34,7 +48,8 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
     for _ in range(rounds):
         if not before[0]:
             break
-        now = stored(_small_star(_large_star(now)), tag)
+        heavy = max(64, 2 * before[0] // shuffle_partitions(edges.sparkSession))  # both ways there are 2 * before[0] rows
+        now = stored(_small_star(_large_star(now, heavy), heavy), tag)
         after = mark(now)
         if tuple(after) == tuple(before):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
