@@ -76,13 +76,18 @@ def link_report(rows: DataFrame, classes: DataFrame, found: DataFrame, tag: str)
         .join(joined.select(F.col("node").alias("_r"), "root"), F.col("node") == F.col("_r"), "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    least = info.groupBy(F.col("root").alias("_root")).agg(F.min("first_id").alias("component_id"))
-    info = stored(
-        info.join(least, F.col("root") == F.col("_root")).select(
-            F.col("node").alias("_node"), "first_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-        ),
-        f"{tag}-info",
+    info = stored(info.select("node", "first_id", "copies", "links", "root"), f"{tag}-roots")
+    # A root of many classes is a hub like those of the stars: its least id is broadcast to its classes.
+    heavy = max(64, info.count() // shuffle_partitions(info.sparkSession))
+    least = info.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > heavy).select(F.col("root").alias("_h"), F.col("component_id").alias("_c")))
+    tagged = info.join(hubs, F.col("root") == F.col("_h"), "left")
+    light = least.filter(F.col("n") <= heavy).select(F.col("root").alias("_root"), "component_id")
+    shown = lambda df, c: df.select(
+        F.col("node").alias("_node"), "first_id", F.col(c).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    found_by_root = tagged.filter("_h is null").join(light, F.col("root") == F.col("_root"))
+    info = stored(shown(tagged.filter("_h is not null"), "_c").unionByName(shown(found_by_root, "component_id")), f"{tag}-info")
     return rows.join(info, F.col("node") == F.col("_node"), "left").select(
         "id",
         F.coalesce("component_id", "id").alias("component_id"),
