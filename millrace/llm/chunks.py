@@ -68,8 +68,14 @@ def chunk_table(docs: DataFrame, tag: str, keep: tuple[str, ...] = (), most: int
             yield row()
 
     schema = COLUMNS + (f", rest array<struct<{rest}>>" if keep else "")
+    return bucketed(plain.mapInArrow(pack, schema), tag)
+
+
+def bucketed(rows: DataFrame, tag: str) -> DataFrame:
+    """``rows`` as a stored table bucketed by ``home``."""
+    spark = rows.sparkSession
     name = f"millrace_{tag}_{uuid.uuid4().hex}"
-    writer = plain.mapInArrow(pack, schema).write.option("compression", "none").option("path", scratch(spark, tag))
+    writer = rows.write.option("compression", "none").option("path", scratch(spark, tag))
     writer.bucketBy(shuffle_partitions(spark), "home").saveAsTable(name)
     return spark.table(name)
 
@@ -91,12 +97,7 @@ class Chunk:
         self.data = np.frombuffer(opened(get("body")[i].as_py()), np.uint8)
         self.offsets = get("cuts")[i].values.to_numpy().astype(np.int64)
         self.rest = get("rest")[i].values if "rest" in batch.schema.names else None
-        self.facts: dict[int, bytes] = {}
-        if "facts" in batch.schema.names and batch.column(batch.schema.get_field_index("facts"))[i].is_valid:
-            own = get("facts")[i].values
-            mine = own.field("chunk").to_numpy() == self.number
-            for at in np.flatnonzero(mine):
-                self.facts[own.field("part")[int(at)].as_py()] = own.field("data")[int(at)].as_py()
+        self.facts = facts_of(batch, i, self.number)
 
     @property
     def order(self) -> np.ndarray:
@@ -110,6 +111,16 @@ def chunks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             yield Chunk(batch, i)
 
 
+def facts_of(batch: pa.RecordBatch, i: int, number: int) -> dict[int, bytes]:
+    """Data by part of the facts of row i that are the chunk's own."""
+    at = batch.schema.get_field_index("facts")
+    if at < 0 or not batch.column(at)[i].is_valid:
+        return {}
+    own = batch.column(at)[i].values
+    mine = np.flatnonzero(own.field("chunk").to_numpy() == number)
+    return {own.field("part")[int(k)].as_py(): own.field("data")[int(k)].as_py() for k in mine}
+
+
 FACTS = "home long, chunk long, part int, data binary"
 
 

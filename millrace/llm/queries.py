@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, mixing, prefix_trie, quality, rollups, sampling, suffix_arrays, suffix_trees, tokens, toxicity, vectors
+from millrace.llm import collocations, jaccard, mixing, prefix_trie, quality, rollups, sampling, suffix_arrays, suffix_trees, tokens, toxicity, vectors
 from millrace.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "TOKENIZER", "table"]
@@ -72,6 +72,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text", "lang")
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_vector_near_duplicates": op9_vector_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_toxicity_scores": op12_toxicity_scores,
     "op13_conversation_trie": op13_conversation_trie,
 }
