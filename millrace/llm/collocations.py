@@ -32,7 +32,7 @@ from millrace.llm import quotient_filters as qf
 from millrace.llm.scans import looked_up
 from millrace.session import shuffle_partitions, stored
 
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 LONGEST = 4
 #: Bytes that end a piece.
 BREAKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
