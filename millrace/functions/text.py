@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import json
+import zlib
 from functools import cache
 from html.entities import html5
 
@@ -11,11 +13,6 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 MAX_CHARS = 4000
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'",
-    "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…",
-    "&bull;": "•", "&eacute;": "é", "&copy;": "©", "&amp;": "&",
-}
 CLOSED, NO_SPONSOR, CITIZENSHIP, ADVANCED = "\U0001f512", "\U0001f6c2", "\U0001f1fa\U0001f1f8", "\U0001f393"
 MARKS = (CLOSED, NO_SPONSOR, CITIZENSHIP, ADVANCED, "\U0001f1fa", "\U0001f1f8", "\U0001f525", "⭐", "\U0001f195", "❗")
 
@@ -39,36 +36,64 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in cols], F.lit(""))
 
 
+#: References that most pages use alone; a text with no other reference is decoded by plain replacements, the ampersand last.
+USUAL = ("nbsp", "lt", "gt", "quot", "apos", "ndash", "mdash", "rsquo", "lsquo", "ldquo", "rdquo", "hellip", "bull", "#39", "#x27", "amp")
+#: Named references are looked up in this many small maps, by the CRC-32 of the name.
+SLOTS = 1024
+
+
+@cache
+def _named() -> str:
+    """JSON of ``SLOTS`` maps, each of the names (without semicolon) whose CRC-32 falls on it."""
+    slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
+    for name, value in html5.items():
+        if name.endswith(";"):
+            slots[zlib.crc32(name[:-1].encode()) % SLOTS][name[:-1]] = value
+    return json.dumps(slots)
+
+
+@cache
+def _numbered() -> str:
+    """JSON of the numbers that pages mean otherwise: nothing, line ends and Windows-1252."""
+    return json.dumps({str(i): html.unescape(f"&#{i};") for i in (0, 13, *range(128, 160))})
+
+
 @cache
-def _references() -> str:
-    """JSON of what rarer named references stand for, and the numbers 128 to 159, which pages mean as Windows-1252."""
-    named = {n[:-1]: v for n, v in html5.items() if n.endswith(";") and f"&{n}" not in ENTITIES}
-    old = {str(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
-    return json.dumps({k: v.replace("&", "&amp;") for k, v in (named | old).items() if v})
+def _open_names() -> str:
+    """A pattern of the names that need no semicolon, the longest first."""
+    return "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 
 
 def _decoded(piece: Column) -> Column:
-    """A piece that begins with a reference, with that reference decoded; "&" itself stays "&amp;"."""
+    """A piece that begins with "&", with the reference there decoded: a whole name with its semicolon, else the
+    longest name that needs none; numbers that stand for no character vanish."""
     get = lambda pattern: F.regexp_extract(piece, pattern, 1)
-    table = F.from_json(F.lit(_references()), "map<string,string>")
-    hexed, digits, name = get(r"^&#[xX]0*([0-9a-fA-F]*)"), get(r"^&#0*([0-9]*)"), get(r"^&([A-Za-z][A-Za-z0-9]{1,31});")
+    table = F.from_json(F.lit(_named()), "array<map<string,string>>")
+    look = lambda name: F.try_element_at(F.get(table, (F.crc32(name.cast("binary")) % SLOTS).cast("int")), name)
+    rest = lambda pattern: F.regexp_replace(piece, pattern, "")
+    hexed, digits = get(r"^&#[xX]0*([0-9a-fA-F]*)"), get(r"^&#0*([0-9]*)")
     number = F.when(piece.rlike("^&#[xX]"), F.when(F.length(hexed) <= 6, F.conv(hexed, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
     number = F.when(number == "", "0").otherwise(number).try_cast("long")
-    wrong = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    wrong = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    void = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | ((number % 0x10000) >= 0xFFFE)
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    made = F.when(wrong, "\ufffd").when(number == 38, "&amp;").otherwise(F.coalesce(F.try_element_at(table, number.cast("string")), char))
-    rest = F.regexp_replace(piece, r"^&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?", "")
-    named = F.when(name != "", F.try_element_at(table, name))
-    return F.when(piece.rlike(r"^&#([xX][0-9a-fA-F]|[0-9])"), F.concat(made, rest)).when(named.isNotNull(), F.concat(named, rest)).otherwise(piece)
+    meant = F.try_element_at(F.from_json(F.lit(_numbered()), "map<string,string>"), number.cast("string"))
+    made = F.when(wrong, "\ufffd").when(void, "").otherwise(F.coalesce(meant, char))
+    closed = F.concat(look(get("^&([A-Za-z][A-Za-z0-9]*);")), rest("^&[A-Za-z0-9]*;"))
+    opened = F.concat(look(get(_open_names())), rest(_open_names()))
+    return F.when(piece.startswith("&#"), F.concat(made, rest(r"^&#([xX][0-9a-fA-F]+|[0-9]+);?"))).otherwise(F.coalesce(closed, opened, piece))
 
 
 def unescape(c: Column) -> Column:
-    """Character references, by number or by name, decoded once; the ampersand last."""
-    pieces = F.split(c, r"(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z]))")
-    c = F.when(c.rlike("&[#A-Za-z]"), F.array_join(F.transform(pieces, _decoded), "")).otherwise(c)
-    for name, value in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    """Character references, by number or by name, with or without semicolon, decoded once."""
+    usual = "|".join(USUAL)
+    plain = c
+    for name in USUAL:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
+    start = r"&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z])"
+    pieces = F.split(c, f"(?={start})")
+    decoded = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{start}"), _decoded(p)).otherwise(p)), "")
+    return F.when(c.rlike(f"(?!&(?:{usual});){start}"), decoded).when(c.contains("&"), plain).otherwise(c)
 
 
 def squeezed_lines(c: Column) -> Column:

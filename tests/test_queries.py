@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; every other one runs."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,6 +17,8 @@ def rows(df: pd.DataFrame) -> list:
             return None
         if isinstance(v, float):
             return round(v, 9)
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return tuple(plain(x) for x in v)
         if hasattr(v, "isoformat"):
             return str(v)[:10]
         return v.item() if hasattr(v, "item") else v
