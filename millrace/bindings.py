@@ -1124,14 +1124,93 @@ def _(spark, d):
     return stats.counted(spark.read.parquet(seen), "company")
 
 
-@query("w3_fast_lane_whole", "SELECT lower(event_type) AS company, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+#: Places of B-events: the city of a user; user_id modulo 4 is 0 for one that a detail record names.
+CITY = "CASE user_id % 4 WHEN 1 THEN 'Berlin' WHEN 2 THEN 'New York; Paris' WHEN 3 THEN '' END"
+
+
+@query(
+    "w3_fast_lane_whole",
+    f"""WITH h AS (SELECT DISTINCT event_type, user_id, CASE WHEN user_id % 4 = 0 THEN CASE WHEN user_id % 8 = 0 THEN 'Rome; Boston' ELSE 'Rome' END ELSE {CITY} END AS location FROM events)
+SELECT lower(event_type) AS company, location, count(*) AS n FROM h WHERE location = '' OR regexp_matches(lower(location), '(new york|boston)') GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """All events through the fast lane in four micro-batches, as new-graduate postings with a URL for each (type, user);
+    deliveries are counted as they are. Places outside the rules, also those only a detail record names, stay out."""
+    from millrace.session import scratch
+
+    sent, seen, ck, landed = (scratch(spark, f"fast-lane-{n}") for n in ("sent", "seen", "checkpoint", "landed"))
+    e = table(spark, d, "events")
+    detail = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("d"), F.col("user_id").cast("string")))
+    hits = e.select(
+        F.lit("New Grad Engineer").alias("title"), F.lower("event_type").alias("company"), F.expr(CITY).alias("location"), F.lit("").alias("description"),
+        F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("url"), detail.alias("detail_url"), F.col("event_id").alias("ord"),
+    )
+    hits.repartition(4, "ord").write.parquet(landed)
+    users = e.select("user_id").filter("user_id % 4 = 0").distinct()
+    details = users.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("detail_url"), F.expr("CASE WHEN user_id % 8 = 0 THEN array('Rome', 'Boston') ELSE array('Rome') END").alias("places"))
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    deliver = lambda df, name: df.write.mode("overwrite").parquet(f"{sent}/batch={name}")
+    alerts.fast_lane(stream, seen, deliver, ck, lambda: datetime.datetime.fromisoformat(NOW), details=details, places=["new york", "boston"]).awaitTermination()
+    return spark.read.parquet(sent).groupBy("company", "location").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w1_stream_new_postings", f"WITH {KEYED} SELECT company, count(DISTINCT fp) AS n FROM keyed WHERE company IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    """All events through the fast lane, as new-graduate postings with a URL for each (type, user)."""
+    """All documents as postings through W1 in four micro-batches, and the same again as a second stream: the rows of
+    the match log, gated ones included. Each fingerprint is in it once."""
     from millrace.session import scratch
 
-    sent, seen, ck = (scratch(spark, f"fast-lane-{n}") for n in ("sent", "seen", "checkpoint"))
-    e = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    hits = e.select(F.lit("New Grad Engineer").alias("title"), F.lower("event_type").alias("company"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("url"))
-    deliver = lambda df: df.write.mode("append").parquet(sent)
-    alerts.fast_lane(hits, seen, deliver, ck, lambda: datetime.datetime.fromisoformat(NOW)).awaitTermination()
-    return stats.counted(spark.read.parquet(sent).distinct(), "company")
+    seen, matches, landed = (scratch(spark, f"new-postings-{n}") for n in ("seen", "matches", "landed"))
+    posts = b1(spark, d)
+    posts.repartition(4, "ord").write.parquet(landed)
+    for _ in range(2):
+        stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        alerts.stream_new_postings(stream, seen, matches, scratch(spark, "new-postings-checkpoint"), cycle.CycleOptions(all_rows=True), lambda: NOW).awaitTermination()
+    return stats.counted(spark.read.parquet(matches).filter("company is not null"), "company")
+
+
+#: Match rows of the events; half of them have an order's key as their URL.
+EVENT_URL = "'k' || (CASE WHEN event_id % 2 = 0 THEN event_id % 5000 ELSE 1000000000 + event_id // 3 END)"
+T1_SQL = f"""{B4}, m AS (SELECT event_id AS ord, event_id % 3 AS part, {EVENT_URL} AS key, CAST(event_id % 11 AS INT) AS score FROM events),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, ord) AS rn FROM m) WHERE rn = 1 AND key NOT IN (SELECT key FROM b4))"""
+
+
+def tracker_store(spark, d) -> tracker.TrackerStore:
+    """A store with the orders, then a third of the events' match rows at a time, then every tenth live order archived."""
+    from millrace.session import scratch
+
+    store = tracker.TrackerStore(spark, scratch(spark, "tracker"), every=3)
+    store.bootstrap(b4(spark, d))
+    e = table(spark, d, "events")
+    url = F.expr(EVENT_URL.replace("//", "div"))
+    for part in range(3):
+        rows = e.filter(F.col("event_id") % 3 == part).select(
+            *[F.lit("").alias(c) for c in ("company", "location", "salary", "source", "suitable", "matched_skills", "concerns", "reason", "date_processed")],
+            F.col("event_type").alias("title"), url.alias("url"), (F.col("event_id") % 11).cast("string").alias("score"), F.col("event_id").alias("ord"),
+        )
+        store.store_matches(rows, f"t{part + 1}")
+    gone = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"))
+    store.change(gone, lambda rows: tracker.soft_delete(rows, gone, "user", "t4"), "archive")
+    return store
+
+
+@query(
+    "t1_t9_store_history",
+    f"""WITH {T1_SQL} SELECT 'bootstrap' AS note, 'snapshot' AS kind, count(*) AS added, count(*) AS seen FROM b4
+UNION ALL SELECT 't' || (part + 1), 'add', (SELECT count(*) FROM f WHERE f.part = m.part), count(*) FROM m GROUP BY part
+UNION ALL SELECT 'archive', 'change', 0, count(*) FROM b4 WHERE o_orderkey % 10 = 0 AND deleted_at IS NULL""",
+)
+def _(spark, d):
+    """T9, T1 three times, T3: what each commit says of itself; snapshots that the log made itself are left out."""
+    return tracker_store(spark, d).history().filter("kind <> 'snapshot' or note <> ''").select("note", "kind", "added", "seen")
+
+
+@query(
+    "t1_t9_store_tracker",
+    f"""WITH {T1_SQL} SELECT key, score, CASE WHEN o_orderkey % 10 = 0 AND deleted_at IS NULL THEN 't4' ELSE deleted_at END AS deleted_at,
+CASE WHEN o_orderkey % 10 = 0 AND deleted_at IS NULL THEN 'user' ELSE deleted_reason END AS deleted_reason, CAST(NULL AS VARCHAR) AS created_at FROM b4
+UNION ALL SELECT key, score, NULL, NULL, 't' || (part + 1) FROM f""",
+)
+def _(spark, d):
+    """The tracker after those commits, read through the log."""
+    return tracker_store(spark, d).read().select("key", "score", "deleted_at", "deleted_reason", "created_at")

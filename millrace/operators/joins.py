@@ -24,11 +24,15 @@ def new_postings(df: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(seen.select("fp"), "fp", "left_anti")
 
 
+def new_rows(known: DataFrame, rows: DataFrame, now: str, order: str = "ord") -> DataFrame:
+    """The first row of each key that is not among ``known`` (column key), stamped."""
+    fresh = first_by(rows.filter("key is not null and key <> ''"), ["key"], order).join(known.select("key"), "key", "left_anti")
+    return with_columns_of(fresh.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), TRACKER_TYPES)
+
+
 def insert_new(tracker: DataFrame, rows: DataFrame, now: str, order: str = "ord") -> DataFrame:
     """Adds rows with new keys (the first of each), never changes an existing one."""
-    fresh = first_by(rows.filter("key is not null and key <> ''"), ["key"], order).join(tracker.select("key"), "key", "left_anti")
-    stamped = fresh.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
-    return with_columns_of(tracker, TRACKER_TYPES).unionByName(with_columns_of(stamped, TRACKER_TYPES))
+    return with_columns_of(tracker, TRACKER_TYPES).unionByName(new_rows(tracker, rows, now, order))
 
 
 def scrape_matches(postings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -5,19 +5,20 @@ Pipeline columns are only inserted, user columns only edited, deletions are tomb
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import row_key
 from millrace.functions.text import strip, text_or_empty
 from millrace.operators.filters import is_internship
-from millrace.operators.joins import archive_classify, insert_new
+from millrace.operators.joins import archive_classify, new_rows
 from millrace.operators.ordered import last_wins_by_key
 from millrace.operators.stats import live
+from millrace.operators.version_log import Conflict, VersionLog
 from millrace.schemas import DELETE_REASONS, PIPELINE, TRACKER_TYPES, USER, with_columns_of
+from millrace.session import stored
 
 
 def coerce_match_row(rows: DataFrame) -> DataFrame:
@@ -136,47 +137,72 @@ def apply_archive(tracker: DataFrame, keys: DataFrame, now: str, include_touched
 
 
 class TrackerStore:
-    """Versions of the tracker in a folder; the highest committed one is in force. One writer at a time."""
+    """The tracker as a log of versions: a commit holds only its own rows. Any number of writers; one that comes
+    second begins again from what the first has written."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema("version long, added long, seen long").parquet(f"{self.path}/commits")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], "version long, added long, seen long")
+    def __init__(self, spark: SparkSession, path: str, every: int = 20, tries: int = 10) -> None:
+        self.log = VersionLog(spark, path, ", ".join(f"{c} {t}" for c, t in TRACKER_TYPES.items()), every)
+        self.spark, self.tries = spark, tries
 
     def version(self) -> int:
-        return self._commits().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self.log.version()
+
+    def history(self) -> DataFrame:
+        """One row per commit."""
+        return self.log.entries().orderBy("version")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The tracker at a version, by default the newest."""
+        self._there()
+        return self.log.read(version)
 
-    def read(self) -> DataFrame:
+    def _there(self) -> int:
         version = self.version()
         if not version:
             raise ValueError("the tracker has not been bootstrapped")
-        return with_columns_of(self.spark.read.parquet(f"{self.path}/v={version}"), TRACKER_TYPES)
-
-    def write(self, tracker: DataFrame, added: int = 0, seen: int = 0) -> int:
-        """Writes the next version whole, then names it: a failure in between leaves the old one in force."""
-        version = self.version() + 1
-        with_columns_of(tracker, TRACKER_TYPES).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.spark.createDataFrame([(version, added, seen)], "version long, added long, seen long").write.mode("append").parquet(f"{self.path}/commits")
         return version
 
+    def _retried(self, attempt: Callable[[int], tuple[int, int]]) -> tuple[int, int]:
+        """An attempt from the newest version, again while other writers come first; then a snapshot if one is due."""
+        for _ in range(self.tries):
+            try:
+                done = attempt(self._there())
+            except Conflict:
+                continue
+            self.log.compact()
+            return done
+        raise Conflict(f"{self.tries} attempts met other writers")
+
     def bootstrap(self, tracker: DataFrame) -> int:
-        """Only into an empty store."""
+        """Only into an empty store; of two at once one fails. Keys have to be unique."""
         if self.version():
             raise ValueError("the tracker is there already")
-        return self.write(tracker)
+        folder, n = self.log.write(with_columns_of(tracker, TRACKER_TYPES), 1)
+        return self.log.commit(1, "snapshot", folder, n, n, n, "bootstrap")
 
     def store_matches(self, matches: DataFrame, now: str) -> tuple[int, int]:
-        """Match rows (ord kept) inserted all or none; gives (added, seen before)."""
-        before = self.read()
-        rows = coerce_match_row(matches).filter("key <> '' and key <> '|'")
-        after = insert_new(before, rows, now)
-        n, keys = before.count(), rows.select("key").distinct().count()
-        added = after.count() - n
-        self.write(after, added, keys - added)
-        return added, keys - added
+        """Match rows (ord kept) inserted all or none; gives (added, seen): new keys, and rows with a
+        key, repeats counted. The tracker's key column is read, its rows are neither read nor written."""
+        rows = stored(coerce_match_row(matches).filter("key <> '' and key <> '|'"), "tracker-matches")
+        keys = stored(rows.select("key").distinct(), "tracker-keys")
+        seen = rows.count()
+
+        def attempt(version: int) -> tuple[int, int]:
+            fresh = new_rows(self.log.existing(keys, version), rows, now)
+            folder, added = self.log.write(fresh, version + 1)
+            self.log.commit(version + 1, "add", folder, added, added, seen, now)
+            return added, seen
+
+        return self._retried(attempt)
+
+    def change(self, keys: DataFrame, edit: Callable[[DataFrame], DataFrame], note: str = "") -> tuple[int, int]:
+        """T2 to T8 on the store: ``edit`` (such as :func:`soft_delete`) sees the rows of ``keys`` and gives them back
+        changed; gives (version, rows written). Rows that the edit leaves as they are are not written."""
+        wanted = keys.select(F.col("key").alias("_k")).distinct()
+
+        def attempt(version: int) -> tuple[int, int]:
+            before = stored(self.log.read(version).join(wanted, F.col("key") == F.col("_k"), "left_semi"), "tracker-before")
+            folder, n = self.log.write(with_columns_of(edit(before), TRACKER_TYPES).exceptAll(before), version + 1)
+            return self.log.commit(version + 1, "change", folder, n, 0, n, note), n
+
+        return self._retried(attempt)

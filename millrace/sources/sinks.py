@@ -18,13 +18,13 @@ def write_postings(postings: DataFrame, path: str, scraped_at: str) -> None:
     postings.select(*POSTING).withColumn("scraped_at", F.lit(scraped_at)).write.mode("append").parquet(path)
 
 
-def append_matches(rows: DataFrame, path: str, as_csv: bool = False) -> None:
+def append_matches(rows: DataFrame, path: str, as_csv: bool = False, mode: str = "append") -> None:
     """The match columns in order; CSV quotes every field."""
     out = rows.select(*[F.col(c).cast("string").alias(c) if as_csv else F.col(c) for c in MATCH])
     if as_csv:
-        out.write.mode("append").option("quoteAll", True).option("escape", '"').csv(path)
+        out.write.mode(mode).option("quoteAll", True).option("escape", '"').csv(path)
     else:
-        out.withColumn("day", F.left("date_processed", F.lit(10))).write.mode("append").partitionBy("day").parquet(path)
+        out.withColumn("day", F.left("date_processed", F.lit(10))).write.mode(mode).partitionBy("day").parquet(path)
 
 
 def append_seen(rows: DataFrame, path: str, dry_run: bool = False, rescore: bool = False) -> None:

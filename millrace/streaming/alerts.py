@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from millrace.operators.filters import is_new_grad, unexpired_seen
-from millrace.operators.joins import fresh_fast_lane
+from millrace.functions.text import text_or_empty
+from millrace.operators.filters import is_new_grad, location_prefilter, unexpired_seen
+from millrace.operators.joins import fresh_fast_lane, with_fingerprint
+from millrace.operators.ordered import first_by
 from millrace.plans.cycle import CycleOptions, cycle
-from millrace.sources.sinks import append_matches, append_seen
+from millrace.sources.normalize import fill_multi_location
+from millrace.sources.sinks import append_matches
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,17 +31,45 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Seen keys lie in folders by the first digits of their SHA-256, so that a micro-batch reads only the folders of its own.
+BUCKET_DIGITS = 2
+
+
+def _bucket(key: Column) -> Column:
+    return F.left(F.sha2(key, 256), F.lit(BUCKET_DIGITS))
+
+
+def batch_name(checkpoint: str, batch_id: int) -> str:
+    """A micro-batch of a stream: the same for a repeated one, another one for another stream's."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+
+
+def seen_of(keys: DataFrame, path: str, column: str, name: str, also: str = "") -> DataFrame:
+    """Rows of a seen table that may hold one of ``keys`` (distinct values of ``column``): those of the keys' buckets,
+    without what this same micro-batch wrote when it was tried before. At most 256 bucket names come to the driver."""
+    spark = keys.sparkSession
+    seen = table_or_empty(spark, path, f"{column} string{also}, batch string, bucket string")
+    buckets = [r[0] for r in keys.select(_bucket(F.col(column))).distinct().collect() if r[0] is not None]
+    return seen.filter(F.col("bucket").isin(buckets) & (F.col("batch") != name)).drop("batch", "bucket")
+
+
+def append_seen_batch(rows: DataFrame, path: str, column: str, name: str) -> None:
+    """S3 of a micro-batch: its keys under its name, by buckets; written again, they replace themselves."""
+    keyed = rows.withColumn("bucket", _bucket(F.col(column)))
+    keyed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={name}")
+
+
 def stream_new_postings(stream: DataFrame, seen_path: str, matches_path: str, checkpoint: str, options: CycleOptions = CycleOptions(), stamp: Callable[[], str] | None = None) -> StreamingQuery:
-    """Every fingerprint is processed once, ever: matches are written, then the fingerprints. A crash
-    in between repeats rows at worst; keyed merges absorb them."""
+    """Every fingerprint is processed once, ever: matches are written, then the fingerprints, both under the
+    micro-batch's name. A crash in between repeats the micro-batch, which then replaces what it wrote."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
+    def batch(df: DataFrame, batch_id: int) -> None:
         now = stamp() if stamp else datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M")
-        df = df.persist()
-        rows, decided = cycle(df, table_or_empty(spark, seen_path, "fp string"), now, options)
-        append_matches(rows, matches_path)
-        append_seen(decided, seen_path)
+        name = batch_name(checkpoint, batch_id)
+        df = with_fingerprint(df).persist()
+        rows, decided = cycle(df.drop("fp"), seen_of(df.select("fp"), seen_path, "fp", name), now, options)
+        append_matches(rows, f"{matches_path}/batch={name}", mode="overwrite")
+        append_seen_batch(decided.select("fp").distinct(), seen_path, "fp", name)
         df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -99,19 +131,32 @@ def tier1_filter(stream: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 
 def fast_lane(
-    stream: DataFrame, seen_path: str, deliver: Callable[[DataFrame], None], checkpoint: str, now: Callable[[], datetime.datetime], ttl_days: int = 120, ignore_seen: bool = False
-) -> StreamingQuery:
-    """New-graduate postings with a URL not alerted in the time to live. Delivery comes first, the record after it."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
+    stream: DataFrame, seen_path: str, deliver: Callable[[DataFrame, str], None], checkpoint: str, now: Callable[[], datetime.datetime], ttl_days: int = 120,
+    ignore_seen: bool = False, details: DataFrame | None = None, places: Sequence[str] = (), no_places: Sequence[str] = (),
+) -> StreamingQuery:
+    """New-graduate postings (P7) in places that fit (F16 where ``details`` are given and the stream has a detail_url,
+    then P2) with a URL not alerted in the time to live (J5); of equal URLs in a micro-batch one goes out, postings without
+    one always do. ``deliver(hits, name)`` comes first, the record after it; a repeated micro-batch has the same name and
+    the same hits, so a deliverer that replaces what it wrote under a name delivers once."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        name = batch_name(checkpoint, batch_id)
         hits = df.filter(is_new_grad(F.col("title")))
+        if details is not None and "detail_url" in df.columns:
+            hits = fill_multi_location(hits, details)
+        if places or no_places:
+            hits = location_prefilter(hits, places, no_places)
+        url = text_or_empty(F.col("url"))
+        order = [c for c in ("ord", "company", "title") if c in hits.columns]
+        hits = first_by(hits.filter(url != ""), ["url"], *order).unionByName(hits.filter(url == "")).persist()
         if not ignore_seen:
-            seen = unexpired_seen(table_or_empty(spark, seen_path, "url string, alerted_at string"), now(), ttl_days)
-            hits = fresh_fast_lane(hits, seen)
-        hits = hits.persist()
-        deliver(hits)
-        hits.filter("url <> ''").select("url", F.lit(now().isoformat()).alias("alerted_at")).distinct().write.mode("append").parquet(seen_path)
+            seen = seen_of(hits.filter(url != "").select("url"), seen_path, "url", name, ", alerted_at string")
+            fresh = fresh_fast_lane(hits, unexpired_seen(seen, now(), ttl_days)).persist()
+        else:
+            fresh = hits
+        deliver(fresh, name)
+        append_seen_batch(fresh.filter(url != "").select("url", F.lit(now().isoformat()).alias("alerted_at")), seen_path, "url", name)
+        fresh.unpersist()
         hits.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -195,9 +195,9 @@ def test_store_is_insert_only(spark, tmp_path):
         store.bootstrap(empty)
     cols = "url string, title string, company string, location string, salary string, source string, score string, suitable string, matched_skills string, concerns string, reason string, date_processed string, ord int"
     rows = [("https://A.io ", "t", "c", "", "", "", "9.9", "True", "", "", "", "", 1), ("https://b.io", "t", "c", "", "", "", "7.9", "False", "", "", "", "", 2), ("https://b.io", "u", "c", "", "", "", "1", "", "", "", "", "", 3)]
-    assert store.store_matches(spark.createDataFrame(rows, cols), "now") == (1, 1)
+    assert store.store_matches(spark.createDataFrame(rows, cols), "now") == (1, 3)
     assert {r.key: (r.score, r.title) for r in store.read().collect()} == {"https://a.io": (3, None), "https://b.io": (7, "t")}
-    assert store.store_matches(spark.createDataFrame(rows, cols), "later") == (0, 2)
+    assert store.store_matches(spark.createDataFrame(rows, cols), "later") == (0, 3)
 
 
 def test_search_escapes(spark):

@@ -23,14 +23,56 @@ def test_each_posting_once(spark, tmp_path, split):
     stream = land(spark, f"{tmp_path}/in", parts, POSTING)
     alerts.stream_new_postings(stream, f"{tmp_path}/seen", f"{tmp_path}/matches", f"{tmp_path}/ck", stamp=lambda: "2024-01-01 00:00").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/matches").count() == 4
-    assert spark.read.parquet(f"{tmp_path}/seen").distinct().count() == 4
+    assert spark.read.parquet(f"{tmp_path}/seen").count() == 4
+
+
+def test_a_repeated_batch_writes_nothing_twice(spark, tmp_path):
+    """The commit of the last micro-batch is lost; it runs again and replaces itself. A second stream adds nothing."""
+    jobs = [(f"Software Engineer, New Grad {i % 4}", "c", "NYC", "", f"https://x.io/{i % 4}", "2027", "ashby:x", i) for i in range(12)]
+    stream = land(spark, f"{tmp_path}/in", [jobs[:2], jobs[2:]], POSTING)
+    run = lambda ck: alerts.stream_new_postings(stream, f"{tmp_path}/seen", f"{tmp_path}/matches", f"{tmp_path}/{ck}", stamp=lambda: "2024-01-01 00:00").awaitTermination()
+    found = lambda: (spark.read.parquet(f"{tmp_path}/matches").count(), spark.read.parquet(f"{tmp_path}/seen").count())
+    run("ck")
+    assert found() == (4, 4)
+    for f in ("1", ".1.crc"):
+        (tmp_path / "ck" / "commits" / f).unlink()
+    run("ck")
+    assert found() == (4, 4)
+    run("other")
+    assert found() == (4, 4)
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)], "fp string")
+    alerts.append_seen_batch(keys, f"{tmp_path}/seen", "fp", "a-0")
+    part = alerts.seen_of(keys.filter("fp in ('k7', 'k8')"), f"{tmp_path}/seen", "fp", "a-1")
+    names = {r.fp for r in part.collect()}
+    assert {"k7", "k8"} <= names and len(names) < 30
+    assert "PartitionFilters: [isnotnull(batch" in part._jdf.queryExecution().toString()
+    assert alerts.seen_of(keys, f"{tmp_path}/seen", "fp", "a-0").count() == 0
+    assert alerts.seen_of(keys, f"{tmp_path}/none", "fp", "a-0").count() == 0
+
+
+def test_fast_lane_places(spark, tmp_path):
+    """Places come from the detail record where a posting only had a count; unfit ones and repeats are not delivered."""
+    schema = POSTING + ", detail_url string"
+    rows = [("New Grad Engineer", "c", place, "", url, "", "s", i, detail) for i, (place, url, detail) in enumerate(
+        [("Berlin", "a", None), ("NYC", "b", None), ("NYC", "b", None), (None, "c", "d1"), (None, "d", "d2"), ("", None, None), ("Boston", "", None)]
+    )]
+    stream = land(spark, f"{tmp_path}/in", [rows, rows[:3]], schema)
+    details = spark.createDataFrame([("d1", ["Paris"]), ("d2", ["Paris", "NYC"])], "detail_url string, places array<string>")
+    deliver = lambda d, name: d.write.mode("overwrite").parquet(f"{tmp_path}/sent/batch={name}")
+    alerts.fast_lane(stream, f"{tmp_path}/seen", deliver, f"{tmp_path}/ck", lambda: datetime.datetime(2024, 1, 1), details=details, places=["nyc", "boston"]).awaitTermination()
+    sent = spark.read.parquet(f"{tmp_path}/sent").collect()
+    assert sorted(r.url or "" for r in sent) == ["", "", "b", "d"]
+    assert [r.location for r in sent if r.url == "d"] == ["Paris; NYC"]
 
 
 def test_fast_lane(spark, tmp_path):
     rows = [("New Grad Engineer", "c", "", "", u, "", "s", i) for i, u in enumerate(["a", "b", "", "a", "c"])]
     stream = land(spark, f"{tmp_path}/in", [rows[:3], rows[3:]], POSTING)
     sent = []
-    alerts.fast_lane(stream, f"{tmp_path}/seen", lambda d: sent.extend(r.url for r in d.collect()), f"{tmp_path}/ck", lambda: datetime.datetime(2024, 1, 1)).awaitTermination()
+    alerts.fast_lane(stream, f"{tmp_path}/seen", lambda d, _: sent.extend(r.url for r in d.collect()), f"{tmp_path}/ck", lambda: datetime.datetime(2024, 1, 1)).awaitTermination()
     assert sorted(sent) == ["", "a", "b", "c"]
 
 
