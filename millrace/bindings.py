@@ -1128,8 +1128,21 @@ def _(spark, d):
 CITY = "CASE user_id % 4 WHEN 1 THEN 'Berlin' WHEN 2 THEN 'New York; Paris' WHEN 3 THEN '' END"
 
 
+@query("w3_fast_lane_whole", "SELECT lower(event_type) AS company, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    """All events through the fast lane, as new-graduate postings with a URL for each (type, user); each delivery counts."""
+    from millrace.session import scratch
+
+    sent, seen, ck = (scratch(spark, f"fast-lane-{n}") for n in ("sent", "seen", "checkpoint"))
+    e = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    hits = e.select(F.lit("New Grad Engineer").alias("title"), F.lower("event_type").alias("company"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("url"))
+    deliver = lambda df, name: df.write.mode("overwrite").parquet(f"{sent}/batch={name}")
+    alerts.fast_lane(hits, seen, deliver, ck, lambda: datetime.datetime.fromisoformat(NOW)).awaitTermination()
+    return stats.counted(spark.read.parquet(sent), "company")
+
+
 @query(
-    "w3_fast_lane_whole",
+    "w3_fast_lane_places",
     f"""WITH h AS (SELECT DISTINCT event_type, user_id, CASE WHEN user_id % 4 = 0 THEN CASE WHEN user_id % 8 = 0 THEN 'Rome; Boston' ELSE 'Rome' END ELSE {CITY} END AS location FROM events)
 SELECT lower(event_type) AS company, location, count(*) AS n FROM h WHERE location = '' OR regexp_matches(lower(location), '(new york|boston)') GROUP BY 1, 2""",
 )
