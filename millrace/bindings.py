@@ -1227,3 +1227,26 @@ UNION ALL SELECT key, score, NULL, NULL, 't' || (part + 1) FROM f""",
 def _(spark, d):
     """The tracker after those commits, read through the log."""
     return tracker_store(spark, d).read().select("key", "score", "deleted_at", "deleted_reason", "created_at")
+
+
+@query(
+    "t8_apply_archive",
+    f"""WITH {B4}, k AS (SELECT DISTINCT 'k' || event_id AS key FROM events), t AS (SELECT b4.*, deleted_at IS NULL AND COALESCE(trim(status), '') = '' AND COALESCE(trim(date_applied), '') = ''
+AND key IN (SELECT key FROM k) AS hit FROM b4)
+SELECT key, CASE WHEN hit THEN '{TODAY}' ELSE deleted_at END AS deleted_at, CASE WHEN hit THEN 'review' ELSE deleted_reason END AS deleted_reason FROM t""",
+)
+def _(spark, d):
+    """The whole tracker after the archive of the events' keys; engaged rows and tombstones stay as they are."""
+    k = table(spark, d, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"))
+    return tracker.apply_archive(b4(spark, d), k, str(TODAY)).select("key", "deleted_at", "deleted_reason")
+
+
+@query(
+    "g8_first_row_per_key",
+    f"""WITH {B1}, r AS (SELECT ord, title, row_number() OVER (PARTITION BY title ORDER BY ord) AS rn FROM b1)
+SELECT ord, CASE WHEN COALESCE(title, '') <> '' AND rn = 1 THEN 'first' ELSE 'other' END AS part FROM r""",
+)
+def _(spark, d):
+    """The first posting of each title, and the blank and repeated ones."""
+    first, other = ordered.first_row_per_key(b1(spark, d), "title", "ord")
+    return first.select("ord", F.lit("first").alias("part")).unionByName(other.select("ord", F.lit("other").alias("part")))
