@@ -1250,3 +1250,38 @@ def _(spark, d):
     """The first posting of each title, and the blank and repeated ones."""
     first, other = ordered.first_row_per_key(b1(spark, d), "title", "ord")
     return first.select("ord", F.lit("first").alias("part")).unionByName(other.select("ord", F.lit("other").alias("part")))
+
+
+#: Days that the watermark has passed at the end: all but those of the last slice of a quarter of the days, and one more.
+PULSE_SQL = """WITH RECURSIVE b AS (SELECT max(CAST(ts AS DATE)) AS last, (max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 4) // 4 + 1 AS late FROM events),
+h AS (SELECT event_type || '-' || user_id % 50 AS company, CAST(ts AS DATE) AS day, count(*) AS n FROM events, b
+  WHERE event_id % 3 = 0 AND (user_id % 4 = 0 OR user_id % 50 < 10) AND CAST(ts AS DATE) < last - CAST(late AS INT) GROUP BY ALL),
+raised AS (SELECT company, min(day) AS first_seen FROM h GROUP BY company
+  UNION ALL SELECT h.company, min(h.day) FROM raised r JOIN h ON h.company = r.company AND h.day > r.first_seen + 4 GROUP BY h.company)
+SELECT company, first_seen, first_seen + 4 AS expires, n FROM raised JOIN h USING (company) WHERE day = first_seen"""
+
+
+@query("w2_recruitment_pulse_stream", PULSE_SQL)
+def _(spark, d):
+    """W2 as a stream over all events, every third a new-graduate posting, landed in four slices of days whose rows come in
+    any order: the alerts of the days that the watermark has passed. Its session has the state store W2 needs."""
+    from millrace.session import scratch
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out, landed, ck = (scratch(own, f"pulse-{n}") for n in ("alerts", "landed", "checkpoint"))
+    group = F.col("user_id") % 50
+    e = table(own, d, "events").select(
+        F.concat_ws("-", "event_type", group.cast("string")).alias("company"), F.when(F.col("event_id") % 3 == 0, "New Grad Engineer").otherwise("Engineer").alias("title"),
+        F.when(F.col("user_id") % 4 == 0, "lever:x").otherwise("remote").alias("source"), F.to_date("ts").alias("day"), group.alias("part"),
+    )
+    labels = e.filter("part < 10").select(F.col("company").alias("label")).distinct()
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    width = ((last - first).days + 4) // 4
+    for i in range(4):
+        lo = first + datetime.timedelta(days=i * width)
+        e.filter(F.col("day").between(lo, lo + datetime.timedelta(days=width - 1))).drop("part").repartition(4).write.mode("append").parquet(landed)
+    stream = own.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(landed)
+    pulse = alerts.recruitment_pulse(stream, lateness=f"{width + 1} days", watchlist=labels)
+    pulse.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return own.read.schema(pulse.schema).parquet(out).select("company", "first_seen", "expires", F.col("count").alias("n"))

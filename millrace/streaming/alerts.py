@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from millrace.functions.text import text_or_empty
+from millrace.functions.text import strip, text_or_empty
 from millrace.operators.filters import is_new_grad, location_prefilter, unexpired_seen
 from millrace.operators.joins import fresh_fast_lane, with_fingerprint
 from millrace.operators.ordered import first_by
@@ -92,7 +92,7 @@ def pulse_days(hits: DataFrame, ttl_days: int = 4) -> DataFrame:
 
 
 class PulseProcessor(StatefulProcessor):
-    """State of a company: the last day its alert stands."""
+    """State of a company: the last day its alert stands, one date for each company that ever had one."""
 
     def __init__(self, ttl_days: int) -> None:
         self.ttl = ttl_days
@@ -101,13 +101,14 @@ class PulseProcessor(StatefulProcessor):
         self.until = handle.getValueState("until", "until date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        hits = pd.concat(list(rows)).sort_values(["day", "company", "title"])
+        hits = pd.concat(list(rows)).sort_values(["day", "company"])
         until = self.until.get()[0] if self.until.exists() else None
         out = []
         for day, same in hits.groupby("day", sort=True):
             if until is None or day > until:
                 until = day + datetime.timedelta(days=self.ttl)
-                out.append((same.company.iloc[0], day, until, len(same), list(same.title[:4])))
+                roles = sorted(r for some in same.roles for r in some)[:SAMPLE_ROLES]
+                out.append((same.company.iloc[0], day, until, int(same["n"].sum()), roles))
         if out:
             self.until.update((until,))
         yield pd.DataFrame(out, columns=["company", "first_seen", "expires", "count", "sample_roles"])
@@ -116,10 +117,40 @@ class PulseProcessor(StatefulProcessor):
         pass
 
 
-def recruitment_pulse(stream: DataFrame, ttl_days: int = 4) -> DataFrame:
-    """W2 as a stream: stream (company, title, day date) -> alerts. Needs the RocksDB state store provider."""
-    hits = stream.filter(is_new_grad(F.col("title"))).select(F.lower("company").alias("_key"), "company", "title", F.to_date("day").alias("day"))
-    return hits.groupBy("_key").transformWithStateInPandas(
+#: Titles an alert shows.
+SAMPLE_ROLES = 4
+
+
+def recruitment_pulse(stream: DataFrame, ttl_days: int = 4, lateness: str | None = None, watchlist: DataFrame | None = None) -> DataFrame:
+    """W2 as a stream: stream (company, title, day date) -> alerts. Needs the RocksDB state store provider.
+
+    Without ``lateness`` an alert goes out in the micro-batch of its first hit, and micro-batches have to come in the order of
+    their days. With it (an interval, "2 days") hits may come that late, in any order: a company's day is summed up before the
+    shuffle and goes to its state as one row when the watermark has passed the day, so days are folded in order however the
+    input is split; the alert then waits for that. Rows of all titles move the watermark; later hits than ``lateness`` are lost.
+    With ``watchlist`` (label), which needs a source column, only rows of a board ("lever:acme") or of a label count (P9).
+    Titles shown are one for each of four hash classes, the smallest: bounded, and the same in any order. A null company
+    counts as empty; rows without a day count nowhere.
+    """
+    dated = stream.withColumn("company", text_or_empty(F.col("company"))).withColumn("day", F.to_date("day")).withColumn("_key", F.lower("company"))
+    if lateness:
+        dated = dated.withColumn("_at", F.col("day").cast("timestamp")).withWatermark("_at", lateness)
+    hit = F.coalesce(is_new_grad(F.col("title")), F.lit(False))
+    if watchlist is not None:
+        labels = watchlist.select(F.lower(strip(F.col("label"))).alias("_label")).filter("_label <> ''").distinct()
+        dated = dated.join(labels, F.col("_key") == F.col("_label"), "left")
+        hit = hit & (F.contains(text_or_empty(F.col("source")), F.lit(":")) | F.col("_label").isNotNull())
+    if lateness:  # a filter would be pushed below the watermark, so other rows go along and count nothing
+        seen = dated.select("_at", "_key", "day", F.when(hit, F.col("company")).alias("company"), F.when(hit, F.col("title")).alias("title"))
+        share = F.pmod(F.xxhash64("title"), F.lit(SAMPLE_ROLES))
+        shown = [F.min(F.when(share == i, F.col("title"))) for i in range(SAMPLE_ROLES)]
+        days = seen.groupBy(F.window("_at", "1 day"), "_key").agg(
+            F.min("day").alias("day"), F.min("company").alias("company"), F.count("title").alias("n"), F.array_compact(F.array(*shown)).alias("roles")
+        )
+        rows = days.filter("n > 0").select("_key", "company", "day", "n", "roles")
+    else:
+        rows = dated.filter(F.col("day").isNotNull() & hit).select("_key", "company", "day", F.lit(1).cast("long").alias("n"), F.array("title").alias("roles"))
+    return rows.groupBy("_key").transformWithStateInPandas(
         PulseProcessor(ttl_days), "company string, first_seen date, expires date, count long, sample_roles array<string>", "append", "none"
     )
 

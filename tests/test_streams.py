@@ -91,6 +91,20 @@ def test_pulse(spark, tmp_path):
     assert {(r.company, r["count"]) for r in got if r.first_seen == day(0)} == {("ACME", 2)}
 
 
+def test_pulse_in_any_order(spark, tmp_path):
+    """Days come mixed within the lateness; they are folded in order. The last days wait for the watermark."""
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    hits = [("Acme", f"New Grad {i % 7}", "lever:acme", day(i % 12)) for i in range(60)] + [("Other", "New Grad", "remote", day(1)), ("Known", "New Grad", "", day(2)), (None, "New Grad", "a:b", day(3)), ("Acme", "New Grad", "a:b", None)]
+    late = [hits[1::2], hits[::2], [("Acme", "Intern", "lever:acme", day(40))]]
+    stream = land(spark, f"{tmp_path}/in", late, "company string, title string, source string, day date")
+    known = spark.createDataFrame([(" KNOWN",), (None,)], "label string")
+    pulse = alerts.recruitment_pulse(stream, lateness="12 days", watchlist=known)
+    pulse.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.company, r.first_seen, r["count"]) for r in got) == [("", day(3), 1), ("Acme", day(0), 5), ("Acme", day(5), 5), ("Acme", day(10), 5), ("Known", day(2), 1)]
+    assert all(r.expires == r.first_seen + datetime.timedelta(days=4) and 1 <= len(r.sample_roles) <= 4 for r in got)
+
+
 def test_tier1(spark):
     posts = spark.createDataFrame([("lever:a",), ("lever:b",), ("x",)], "source string")
     boards = spark.createDataFrame([("lever", "a", True), ("lever", "b", False)], "platform string, slug string, tier1 boolean")
