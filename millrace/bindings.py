@@ -1285,3 +1285,80 @@ def _(spark, d):
     pulse = alerts.recruitment_pulse(stream, lateness=f"{width + 1} days", watchlist=labels)
     pulse.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     return own.read.schema(pulse.schema).parquet(out).select("company", "first_seen", "expires", F.col("count").alias("n"))
+
+
+# --- Trees and landing files -------------------------------------------------------------------
+
+
+def _comment(fields, below):
+    """JSON of one comment: the struct ``fields`` and the JSON list ``below`` of its answers."""
+    own = F.to_json(fields)
+    return F.concat(F.left(own, F.length(own) - 1), F.lit(', "children": '), below, F.lit("}"))
+
+
+TURNS_SQL = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS depth, COALESCE(text, '') AS text FROM conversations)"""
+
+
+@query(
+    "n5_comment_tree",
+    f"""WITH {TURNS_SQL} SELECT conv_id // 20 AS thread, conv_id || '-' || depth AS id, CASE WHEN depth > 1 THEN conv_id || '-' || (depth - 1) END AS parent_id, depth,
+CASE WHEN depth < max(depth) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS n_children, text FROM t""",
+)
+def _(spark, d):
+    """Threads of twenty conversations, each turn an answer to the one before: trees as deep as the longest conversation."""
+    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("at"))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    numbered = F.reverse(F.transform("at", lambda x, i: F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"))))
+    nested = F.aggregate(numbered, F.lit("[]"), lambda below, x: F.concat(F.lit("["), _comment(x, below), F.lit("]")))
+    top = turns.select(F.expr("conv_id div 20").alias("thread"), F.substring(nested, 2, 1 << 30).alias("one")).select("thread", F.expr("left(one, length(one) - 1)").alias("one"))
+    threads = top.groupBy("thread").agg(F.concat(F.lit('{"id": "story", "children": ['), F.array_join(F.collect_list("one"), ","), F.lit("]}")).alias("payload"))
+    return normalize.comment_tree(threads).select("thread", "id", "parent_id", "depth", "n_children", "text")
+
+
+@query(
+    "n5_norm_hn_hiring",
+    """SELECT c_name AS title, c_mktsegment AS company, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Oslo' END AS location, '' AS salary, 'https://news.ycombinator.com/item?id=' || c_custkey AS url,
+c_mktsegment || ' | ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' | Oslo' END || chr(10) || 'We look for engineers & others to join us.' AS description, 'hn_hiring' AS source
+FROM customer WHERE c_custkey % 4 <> 0""",
+)
+def _(spark, d):
+    """A comment for each customer; every fourth is short, all have an answer that is long enough for a posting but is none."""
+    k = F.col("c_custkey")
+    said = F.concat("c_mktsegment", F.lit(" | "), "c_name", F.when(k % 3 == 0, "").otherwise(" | Oslo"), F.lit("<br>We look for engineers &amp; others to join us."))
+    answer = F.struct(F.concat(F.lit("a"), k.cast("string")).alias("id"), F.lit("Nobody | Answers | Nowhere, at more than forty characters").alias("text"))
+    item = F.struct(k.cast("string").alias("id"), F.when(k % 4 == 0, "[deleted]").otherwise(said).alias("text"), F.array(answer).alias("children"))
+    return normalize.norm_hn_hiring(b9(spark, d, item, "children"))
+
+
+LANDED_SQL = """SELECT o_orderpriority AS title, 'c' || o_custkey AS company, 'u' || o_orderkey AS url, {at} AS scraped_at, '{kind}' AS kind FROM orders WHERE {good}"""
+LANDED = {"documents": "o_orderkey // 2000 % 7 <> 3", "lines": "o_orderkey % 10 <> 3"}
+
+
+def landed_files(spark, d) -> dict[str, str]:
+    """All orders as postings on disk: documents (objects and bare arrays in turn) of up to 2,000, some cut short; and lines, some cut short."""
+    from millrace.session import scratch
+
+    paths = {kind: scratch(spark, f"landing-{kind}") for kind in LANDED}
+    page = F.expr("o_orderkey div 2000")
+    j = F.struct(F.col("o_orderpriority").alias("title"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))
+    o = table(spark, d, "orders").select("o_orderkey", page.alias("page"), j.alias("j"))
+    jobs = o.groupBy("page").agg(F.collect_list("j").alias("jobs"))
+    doc = F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("t"), F.col("page").cast("string")).alias("scraped_at"), "jobs"))).otherwise(F.to_json("jobs"))
+    cut = lambda c, off: F.when(off, F.left(c, F.length(c) - 5)).otherwise(c)
+    jobs.select("page", cut(doc, F.col("page") % 7 == 3).alias("value")).write.partitionBy("page").text(paths["documents"])
+    o.select(cut(F.to_json(F.struct("j.*", F.lit("t").alias("scraped_at"))), F.col("o_orderkey") % 10 == 3).alias("value")).write.text(paths["lines"])
+    return paths
+
+
+@query("n16_read_postings", " UNION ALL ".join(
+    LANDED_SQL.format(kind=kind, good=good, at={"documents": "CASE WHEN o_orderkey // 2000 % 2 = 0 THEN 't' || o_orderkey // 2000 END", "lines": "'t'"}[kind]) for kind, good in LANDED.items()
+))
+def _(spark, d):
+    both = [files.read_postings(spark, path, kind == "lines").withColumn("kind", F.lit(kind)) for kind, path in landed_files(spark, d).items()]
+    return both[0].unionByName(both[1]).select("title", "company", "url", "scraped_at", "kind")
+
+
+@query("n16_bad_records", "SELECT 'documents' AS kind, count(DISTINCT o_orderkey // 2000) AS bad FROM orders WHERE o_orderkey // 2000 % 7 = 3 UNION ALL SELECT 'lines', count(*) FROM orders WHERE o_orderkey % 10 = 3")
+def _(spark, d):
+    both = [files.read_landing(spark, path, kind == "lines")[1].agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).select(F.lit(kind).alias("kind"), "bad") for kind, path in landed_files(spark, d).items()]
+    return both[0].unionByName(both[1])

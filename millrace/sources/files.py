@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
@@ -26,13 +26,32 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     return valid_matches(rows.filter(~((F.col(MATCH[0]) == MATCH[0]) & (F.col("title") == "title"))))
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """An object with ``jobs``, or a bare array; ``scraped_at`` comes along."""
-    whole = spark.read.option("wholetext", True).text(path)
-    jobs = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.jobs"))
-    fields = "array<struct<" + ", ".join(f"{c}: string" for c in POSTING) + ">>"
-    rows = whole.select(F.get_json_object("value", "$.scraped_at").alias("scraped_at"), F.posexplode(F.from_json(jobs, fields)).alias("ord", "j"))
-    return rows.select("scraped_at", "ord", "j.*")
+def read_landing(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """N16 with what failed: postings (scraped_at, ord, posting columns), and bad records by file (file, bad).
+
+    Files are documents (an object with ``jobs``, or a bare array), each parsed from its stream in one task, or with
+    ``lines`` one posting a line, which large files should be: they are split. ``ord`` rises within a file. Bad are what does
+    not parse (a document is one record) and records without any posting column; nulls in a list of jobs as well.
+    """
+    fields = ", ".join(f"{c} string" for c in POSTING)
+    jobs = "" if lines else f"jobs array<struct<{fields}>>, "
+    read = spark.read.schema(f"scraped_at string, {jobs}{fields}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", not lines)
+    # a posting is a field of its own name, so a name may be missing or of another kind without spoiling the others
+    rows = read.json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"))
+    if not lines:
+        own = F.array(F.struct(*POSTING))
+        each = F.explode(F.when(F.col("_bad").isNull(), F.coalesce("jobs", own)).otherwise(own))
+        rows = rows.select("scraped_at", "_bad", "file", "_from", each.alias("_j")).select("scraped_at", "_bad", "file", "_from", "_j.*")
+    # splits of a file start as far apart as a partition is long, so the place in the partition keeps their order
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("ord", F.col("_from") + place).withColumn("_good", F.col("_bad").isNull() & F.coalesce(*POSTING).isNotNull())
+    bad = rows.filter(~F.col("_good")).groupBy("file").agg(F.count(F.lit(1)).alias("bad"))
+    return rows.filter("_good").select("scraped_at", "ord", *POSTING), bad
+
+
+def read_postings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An object with ``jobs``, or a bare array, or a posting a line; ``scraped_at`` comes along."""
+    return read_landing(spark, path, lines)[0]
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +94,3 @@ def funnel(stages: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def running_total(df: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

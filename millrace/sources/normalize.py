@@ -7,12 +7,14 @@ and gives the posting columns; ``NORMALIZERS`` is the registry.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import MAX_CHARS, first_filled, html_to_text, join_place, remote_suffix, strip, tagged, text_or_empty
 from millrace.schemas import POSTING
+from millrace.session import stored
 
 
 def _posting(df: DataFrame, **columns: Column) -> DataFrame:
@@ -100,8 +102,28 @@ def hn_fields(text: Column) -> Column:
     )
 
 
+def comment_tree(threads: DataFrame) -> DataFrame:
+    """N5, the whole tree: threads (thread, payload) -> a row a comment at any depth: thread, id, parent_id (null at the top),
+    depth (from 1), path (places from 0), n_children, text.
+
+    A payload is parsed once, as a variant. Each level is the children of the one before, stored in the shared folder; no
+    level shuffles, and there are as many jobs as the deepest thread has levels. Payloads that do not parse and children
+    that are no list give nothing.
+    """
+    kids = F.expr("try_variant_get(v, '$.children', 'array<variant>')")
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    level = threads.select("thread", F.lit(None).cast("string").alias("id"), F.array().cast("array<int>").alias("path"), F.try_parse_json("payload").alias("v"))
+    found = []
+    while True:
+        below = level.select("thread", F.col("id").alias("parent_id"), F.col("path").alias("_above"), F.posexplode(kids).alias("_at", "v"))
+        level = stored(below.select("thread", "parent_id", get("$.id").alias("id"), F.concat("_above", F.array("_at")).alias("path"), "v"), "comments")
+        found.append(level.select("thread", "id", "parent_id", F.size("path").alias("depth"), "path", F.coalesce(F.size(kids), F.lit(0)).alias("n_children"), get("$.text").alias("text")))
+        if level.filter(F.size(kids) > 0).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def norm_hn_hiring(raw: DataFrame) -> DataFrame:
-    """Comments of 40 characters or more."""
+    """Comments of 40 characters or more at the top of their thread; answers below them are no postings."""
     rows = _items(raw, "$.children", "id string, text string").withColumn("_t", html_to_text(F.col("j.text"))).filter(F.length("_t") >= 40)
     f = hn_fields(F.col("_t"))
     return _posting(
