@@ -1362,3 +1362,53 @@ def _(spark, d):
 def _(spark, d):
     both = [files.read_landing(spark, path, kind == "lines")[1].agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).select(F.lit(kind).alias("kind"), "bad") for kind, path in landed_files(spark, d).items()]
     return both[0].unionByName(both[1])
+
+
+# --- List documents: the same text in both engines, parsed by windows in SQL ------------------------
+
+LINK = "CASE WHEN o_orderkey % 7 = 0 THEN '🔒' WHEN o_orderkey % 11 = 0 THEN 'soon' ELSE {a} || 'https://x.io/j?id=' || o_orderkey || '&utm_source=l' || {b} END"
+LIST_CELLS = {
+    "company": "CASE WHEN o_orderkey % 3 = 0 THEN '↳' WHEN o_orderkey % 5 = 0 THEN '' ELSE '**' || o_orderpriority || '**' END",
+    "title": "'Engineer ' || o_orderkey || CASE WHEN o_orderkey % 13 = 0 THEN ' 🛂' ELSE '' END",
+    "place": "CASE WHEN o_orderkey % 4 = 0 THEN 'Oslo<br>Rome' ELSE o_orderstatus END",
+    "link": LINK.format(a="'[Apply]('", b="')'"),
+    "anchor": LINK.format(a="""'<a href="'""", b="""'">Apply</a>'"""),
+}
+#: Even orders are lines of a Markdown table whose columns stand in two orders; odd ones are rows of an HTML table over four lines.
+LIST_LINE = """CASE WHEN o_orderkey % 2 = 1 THEN '<tr>' || chr(10) || '<td>' || {company} || '</td><td>' || {title} || '</td>' || chr(10) || '<td>' || {place} || '</td>' || chr(10) || '<td>' || {anchor} || '</td></tr>'
+WHEN o_custkey % 2 = 0 THEN '| ' || {company} || ' | ' || {title} || ' | ' || {place} || ' | ' || {link} || ' |'
+ELSE '| ' || {title} || ' | ' || {company} || ' | ' || {link} || ' | ' || {place} || ' |' END""".format(**LIST_CELLS)
+LIST_HEAD = """'Intro' || chr(10) || '| Early | Engineer | Oslo | [Apply](https://x.io/j?id=0) |' || chr(10) || '## Jobs ##' || chr(10) || CASE WHEN doc % 2 = 0 THEN '| Company | Role | Location | Link |' ELSE '| Role | Company | Link | Location |' END || chr(10) || '|---|:---:|---|---|'"""
+LIST_MID = """CASE WHEN doc % 3 = 0 THEN '### Interns' ELSE 'No section' END || chr(10) || '<table>' || chr(10) || '<tr><th>Company</th><th>Role</th><th>Location</th><th>Link</th></tr>'"""
+
+
+@query(
+    "n6_list_documents",
+    f"""WITH r AS (SELECT o_custkey AS doc, o_orderkey AS k, {LIST_LINE} AS line FROM orders),
+p AS (SELECT doc, string_agg(line, chr(10) ORDER BY k) FILTER (k % 2 = 0) AS even, string_agg(line, chr(10) ORDER BY k) FILTER (k % 2 = 1) AS odd FROM r GROUP BY doc),
+d AS (SELECT doc, string_split(concat_ws(chr(10), {LIST_HEAD}, even, {LIST_MID}, odd, '</table>'), chr(10)) AS lines FROM p),
+l AS (SELECT doc, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+m AS (SELECT *, last_value(CASE WHEN line LIKE '%</tr>%' THEN 0 WHEN line LIKE '<tr%' THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM l),
+g AS (SELECT *, sum(CASE WHEN inside = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY i) AS g FROM m),
+j AS (SELECT doc, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS line FROM g GROUP BY doc, g),
+c AS (SELECT *, CASE WHEN line LIKE '<tr%' THEN regexp_extract_all(line, '(?s)<t[dh]>(.*?)</t[dh]>', 1) WHEN line LIKE '|%' THEN list_transform(string_split(line[2:-2], '|'), lambda x: trim(x)) END AS cells,
+  last_value(CASE WHEN line LIKE '##%' THEN trim(line, '# ') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i) AS section FROM j),
+h AS (SELECT *, list_contains(cells, 'Company') AND list_contains(cells, 'Role') AS head FROM c WHERE len(cells) >= 3 AND cells[1] <> '---'),
+t AS (SELECT *, max(CASE WHEN head THEN i END) OVER (PARTITION BY doc ORDER BY i) AS tab, last_value(CASE WHEN head THEN cells END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i) AS cols FROM h),
+f AS (SELECT *, replace(cells[list_position(cols, 'Company')], '**', '') AS own FROM t WHERE NOT head AND tab IS NOT NULL),
+o AS (SELECT *, COALESCE(last_value(CASE WHEN own NOT IN ('', '↳') THEN own END IGNORE NULLS) OVER (PARTITION BY doc, tab ORDER BY i), '') AS company FROM f)
+SELECT doc, company, trim(replace(cells[list_position(cols, 'Role')], '🛂', '')) AS title, replace(cells[list_position(cols, 'Location')], '<br>', ' / ') AS location, section,
+  regexp_extract(cells[list_position(cols, 'Link')], 'https://x.io/j.id=[0-9]+', 0) AS url, contains(line, '🛂') AS no_sponsor
+FROM o WHERE section <> 'Interns' AND NOT contains(line, '🔒') AND contains(line, 'https://')""",
+)
+def _(spark, d):
+    """N6 with G2, G4, G5, F8, F10, F11 and F13: a document a customer with rows before any header, two orders of columns,
+    marked, closed and linkless rows, companies named above, a section left out, and rows over several lines."""
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.expr(LIST_LINE).alias("line"))
+    half = lambda odd: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 2 == odd, F.struct("k", "line")))), lambda x: x["line"]), "\n"), F.lit(""))
+    docs = r.groupBy("doc").agg(half(0).alias("even"), half(1).alias("odd"))
+    docs = docs.select("doc", F.concat_ws("\n", F.expr(LIST_HEAD), "even", F.expr(LIST_MID), "odd", F.lit("</table>")).alias("text"), F.lit("x/y").alias("label"))
+    told = F.col("description")
+    return lists.norm_list(docs, exclude=["intern"]).select(
+        "doc", "company", "title", "location", F.regexp_extract(told, "(?m)^Category: (.*)$", 1).alias("section"), "url", told.contains("does NOT offer visa sponsorship").alias("no_sponsor")
+    )
