@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import zlib
+from collections.abc import Callable
 from functools import cache
 from html.entities import html5
 
@@ -21,6 +22,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) for an f that looks at its argument often: ``c`` stands in the plan, and is evaluated, once."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def strip(c: Column) -> Column:
     """Trims all Unicode white space."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -86,6 +92,10 @@ def _decoded(piece: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Character references, by number or by name, with or without semicolon, decoded once."""
+    return once(c, _unescaped)
+
+
+def _unescaped(c: Column) -> Column:
     usual = "|".join(USUAL)
     plain = c
     for name in USUAL:

@@ -63,30 +63,30 @@ def norm_list(
     """docs: doc, text, label. Gives doc, ord and the posting columns."""
     lines = list_lines(docs)
     heading = F.regexp_extract("line", r"(?s)^#{1,6}\s+(.+?)\s*#*$", 1)
-    rows = lines.withColumn("cells", _cells(F.col("line"))).withColumn(
-        "_heading", F.when(F.col("cells").isNull() & F.col("line").rlike(r"^#{1,6}\s+\S"), cell_text(heading))
-    )
+    # The text of a heading or of every cell is made once, below the windows; all that follows only looks at it.
+    rows = lines.withColumn("cells", _cells(F.col("line"))).withColumn("texts", F.transform(F.coalesce("cells", F.array(heading)), cell_text))
+    rows = rows.withColumn("_heading", F.when(F.col("cells").isNull() & F.col("line").rlike(r"^#{1,6}\s+\S"), F.get("texts", 0)))
     rows = carry_last(rows, "_heading", ["doc"], "ord", "section").withColumn("section", F.coalesce("section", F.lit("")))
     rows = rows.filter(F.size("cells") >= 3)
     filled = F.filter("cells", lambda c: strip(c) != "")
     rows = rows.filter(~F.forall(filled, lambda c: strip(c).rlike(r"^:?-{2,}:?$")))
-    labels = F.transform("cells", lambda c: F.regexp_replace(F.lower(cell_text(c)), r"^[ *:]+|[ *:]+$", ""))
+    labels = F.transform("texts", lambda c: F.regexp_replace(F.lower(c), r"^[ *:]+|[ *:]+$", ""))
     rows = rows.withColumn("_header", _header(labels)).withColumn("_table", F.when(F.col("_header").isNotNull(), F.col("ord")))
     rows = carry_last(carry_last(rows, "_header", ["doc"], "ord", "cols"), "_table", ["doc"], "ord", "table")
     rows = rows.filter(F.col("_header").isNull() & F.col("cols").isNotNull())
-    cell = lambda f: F.when(F.col("cols")[f] > 0, F.coalesce(F.try_element_at("cells", F.col("cols")[f]), F.lit(""))).otherwise("")
-    own = demark(cell_text(cell("company")))
+    cell = lambda f, of="texts": F.when(F.col("cols")[f] > 0, F.coalesce(F.try_element_at(of, F.col("cols")[f]), F.lit(""))).otherwise("")
+    own = demark(cell("company"))
     rows = rows.withColumn("_own", F.when((own != "") & ~own.startswith("↳"), own))
     rows = carry_last(rows, "_own", ["doc", "table"], "ord", "company").withColumn("company", F.coalesce("company", F.lit("")))
-    rows = rows.withColumn("title", demark(cell_text(cell("title")))).withColumn("flags", legend_flags(F.array_join("cells", " ")))
+    rows = rows.withColumn("title", demark(cell("title"))).withColumn("flags", legend_flags(F.array_join("cells", " ")))
     rows = rows.filter(
         (F.col("title") != "")
         & ~row_flag_skip(F.col("flags"), skip_closed, skip_no_sponsorship, skip_citizenship, skip_advanced_degree)
         & section_allowed(F.col("section"), include, exclude)
     )
-    rows = rows.withColumn("url", pick_apply_url(cell("url"))).filter("url <> ''")
+    rows = rows.withColumn("url", pick_apply_url(cell("url", "cells"))).filter("url <> ''")
     for f in ("location", "salary", "posted"):
-        rows = rows.withColumn(f, cell_text(cell(f)))
+        rows = rows.withColumn(f, cell(f))
     rows = cap_rows(rows, max_jobs, ["doc"], "ord").join(docs.select("doc", "label"), "doc")
     made = synth_description(*[F.col(c) for c in ("title", "company", "location", "salary", "posted", "section", "flags", "label")], tags)
     return rows.withColumn("description", made).withColumn("source", F.concat(F.lit("github_list/"), "label")).select("doc", "ord", *POSTING)
