@@ -1412,3 +1412,15 @@ def _(spark, d):
     return lists.norm_list(docs, exclude=["intern"]).select(
         "doc", "company", "title", "location", F.regexp_extract(told, "(?m)^Category: (.*)$", 1).alias("section"), "url", told.contains("does NOT offer visa sponsorship").alias("no_sponsor")
     )
+
+
+@query("s7_snapshots_kept", "SELECT '199' || y || '-12-31' AS date, count(*) AS n FROM orders, (SELECT unnest([5, 6, 7]) AS y) WHERE year(o_orderdate) <= 1990 + y GROUP BY y")
+def _(spark, d):
+    """The tracker's snapshots at six years' ends, one of them written twice; of those on disk the newest three stay."""
+    from millrace.session import scratch
+
+    path, o = scratch(spark, "snapshots"), table(spark, d, "orders")
+    for year in (1992, 1993, 1994, 1995, 1996, 1996, 1997):
+        sinks.write_snapshot(o.filter(F.year("o_orderdate") <= year), path, f"{year}-12-31")
+    sinks.retain_snapshots(spark, path, 3)
+    return spark.read.parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import month_day
 from millrace.functions.text import text_or_empty
+from millrace.operators.ordered import latest_snapshots
 from millrace.operators.stats import live
 from millrace.operators.tracker import sort_orders
 from millrace.rules import EXPORT_COLUMNS
@@ -40,8 +43,23 @@ def export_projection(tracker: DataFrame) -> DataFrame:
 
 
 def write_snapshot(tracker: DataFrame, path: str, date: str) -> None:
-    """One dated snapshot."""
-    tracker.withColumn("snapshot_date", F.lit(date)).write.mode("append").partitionBy("snapshot_date").parquet(path)
+    """The snapshot of a date; written again, it replaces itself."""
+    tracker.write.mode("overwrite").parquet(f"{path}/snapshot_date={date}")
+
+
+def retain_snapshots(spark: SparkSession, path: str, keep: int = 14, protect: Sequence[str] = ()) -> list[str]:
+    """Removes the snapshots that G11 drops and gives their dates. Folders that are being written, or were left by a
+    write that failed (no ``_SUCCESS``), neither count nor go. The names of snapshots, a few, are listed by the driver."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    dates = [n.split("=", 1)[1] for n in names if n.startswith("snapshot_date=") and fs.exists(below(f"{n}/_SUCCESS"))]
+    marked = latest_snapshots(spark.createDataFrame([(d,) for d in dates], "snapshot_date string"), keep, protect)
+    gone = sorted(r.snapshot_date for r in marked.filter("drop").collect())
+    for date in gone:
+        fs.delete(below(f"snapshot_date={date}"), True)
+    return gone
 
 
 def alerts_digest(hits: DataFrame, lines: int = 1000) -> DataFrame:
