@@ -171,10 +171,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+#: Bytes of text encoded at once. Arrays of 64-bit numbers for each byte stand beside them, several at a time, in every worker of
+#: an executor.
+PIECE = 1 << 18
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each batch: itself, ids of its texts one after another (each with ``end_id``), offsets."""
     enc = encoder(path)
-    for batch in arrays.pieces(batches):
+    for batch in arrays.pieces(batches, most=PIECE):
         ids, sizes = enc.encode(batch.column(batch.schema.get_field_index("text")))
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))

@@ -98,3 +98,23 @@ def test_text_longer_than_a_piece(spark):
     ids = tokens.encoder(TOKENIZER).tokenizer.encode(long, add_special_tokens=False).ids
     assert len(long) > 1 << 20 and got[2].n_tokens == len(ids) + 1 and got[3].start == got[2].start + got[2].n_tokens
     assert got[2].ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
+def test_memory_of_a_batch_of_texts():
+    """Arrays beside the texts are bounded, however large a batch is."""
+    import tracemalloc
+
+    column = pa.array([" ".join(f"word{i * j % 997}" for j in range(400)) for i in range(800)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), column], names=["doc_id", "text"])
+    assert batch.nbytes > 2_000_000
+    whole = tokens.encoder(TOKENIZER).encode(column)
+    tracemalloc.start()
+    n, ids = [], []
+    for part, found, cut in tokens.encoded(iter([batch]), TOKENIZER, None):
+        n.append(part.num_rows)
+        ids.append(found)
+        assert cut[-1] == len(found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n) == 800 and np.array_equal(np.concatenate(ids), whole[0])
+    assert most < 18_000_000, most
