@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import cell_text, demark, legend_flags, strip, synth_description
+from millrace.functions.text import cell_text, demark, legend_flags, once, strip, synth_description
 from millrace.functions.urls import pick_apply_url
 from millrace.operators.filters import row_flag_skip, section_allowed
 from millrace.operators.ordered import cap_rows, carry_last
@@ -24,11 +24,10 @@ FIELDS = ("company", "title", "location", "url", "salary", "posted")
 def list_lines(docs: DataFrame) -> DataFrame:
     """Docs (doc, text) -> doc, ord, line; a <tr> over several lines is one line at the place of its first."""
     lines = docs.select("doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("ord", "raw")).withColumn("line", strip(F.col("raw")))
-    low = F.lower("line")
     upto = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     # A row is open from a line that starts it without ending it up to the next line that ends one.
-    opens, ends = low.startswith("<tr") & ~low.contains("</tr>"), low.contains("</tr>")
+    opens, ends = F.col("line").rlike("(?i)^<tr") & ~F.col("line").rlike("(?i)</tr>"), F.col("line").rlike("(?i)</tr>")
     marked = (
         lines.withColumn("_event", F.when(opens, 1).when(ends, 0))
         .withColumn("_open", F.coalesce(F.last("_event", ignorenulls=True).over(before), F.lit(0)) == 1)
@@ -43,17 +42,23 @@ def list_lines(docs: DataFrame) -> DataFrame:
 
 def _cells(line: Column) -> Column:
     tr = F.regexp_extract_all(line, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1)
-    pipe = F.transform(F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|"), strip)
+    pipe = F.transform(F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|"), _stripped)
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    return F.when(F.lower(line).startswith("<tr"), tr).when(line.startswith("|") & (bars >= 3), pipe)
+    return F.when(line.rlike("(?i)^<tr"), tr).when(line.startswith("|") & (bars >= 3), pipe)
+
+
+def _stripped(c: Column) -> Column:
+    """``strip`` for texts that mostly end in plain spaces: the regular expression only where other white space is left."""
+    return F.when(F.trim(c).rlike(r"(?U)^\s|\s$"), strip(c)).otherwise(F.trim(c))
 
 
 def _header(labels: Column) -> Column:
     """Map field -> place (from 1); the first label of a field wins; null without company and title."""
-    place = lambda field: F.array_position(F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), F.lit(""))), field)
     known = F.create_map(*[F.lit(x) for pair in LIST_LABELS.items() for x in pair])
-    found = F.create_map(*[x for f in FIELDS for x in (F.lit(f), place(f).cast("int"))])
-    return F.when((found["company"] > 0) & (found["title"] > 0), found)
+    fields = F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), F.lit("")))
+    places = lambda x: F.create_map(*[y for f in FIELDS for y in (F.lit(f), F.array_position(x, f).cast("int"))])
+    is_header = lambda x: F.array_contains(x, "company") & F.array_contains(x, "title")
+    return once(fields, lambda x: F.when(is_header(x), places(x)))
 
 
 def norm_list(

@@ -30,3 +30,13 @@ def check(spark, raws):
     got = [(r.raw, r.out) for r in df.select("raw", text.unescape(df.raw).alias("out")).collect()]
     assert [g for g in got if g[0] is not None and g[1] != html.unescape(g[0])] == []
     assert len(got) == len(raws) and all(o is None for r, o in got if r is None)
+
+
+def test_plain_cells_as_all_steps_leave_them(spark):
+    """The one look that plain cells take and the whole chain agree, also where the cut at 4,000 characters leaves a space."""
+    from pyspark.sql import functions as F
+
+    odd = ["", " ", "a", "a b", " a", "a ", "a  b", "a\tb", "a b", " a", "a\nb", "a\r\n\r\n b", "a\n", "*a*", "**a** b", "`a`", "a & b", "&amp;lt;", "a<br>b",
+           "<b>a</b>", "[x](y)", "![x](y) z", "[x", "a > b", "|", "↳", "x" * 3999 + " y", "x" * 4001, None]
+    rows = spark.createDataFrame([(x,) for x in odd], "c string").select("c", text.cell_text(F.col("c")).alias("a"), text._cell_text(text.text_or_empty(F.col("c"))).alias("b")).collect()
+    assert len(rows) == len(odd) and all(r.a == r.b for r in rows), [r for r in rows if r.a != r.b]
