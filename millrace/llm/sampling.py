@@ -7,10 +7,10 @@ the probability of their generalised Jaccard similarity, sum min(w) / sum max(w)
 
 Terms are words, weights their numbers of occurrences. Texts are shuffled once, to
 buckets of neighbouring doc_ids; each bucket also gets the first document of the next
-one, so that "the next document" needs no join. All that follows keeps to that
-partitioning. Counts of one term and weight are gathered over the texts of a bucket
-(at most ``BLOCK`` of them to a row), so that the draws of a term and weight are made
-once for all these texts; each text then takes the least of its terms' draws.
+one, so that "the next document" needs no join. A text and its edited text share the
+draws of a term with equal weights. The least a of a text of n words is exponential with
+mean 1 / n, so draws that are surely above ``REACH`` / n are dropped before their
+logarithms are taken. A draw within the limit is less than all that are dropped.
 
 The likeness of two fingerprints is a mean of 128 draws: its standard error is
 sqrt(j (1 - j) / 128), 0.044 at a similarity of 0.5 and 0.035 at 0.8.
@@ -34,10 +34,9 @@ from millrace.session import shuffle_partitions
 #: Fixed value: what separates words, as in [^\x20\x09-\x0D]+.
 GAPS = r"[\x20\x09-\x0D]+"
 SAMPLES = 128
-#: Samples drawn by one row; more make the generated code too long to be compiled well.
-WIDTH = 4
-#: Texts (with their edited ones) of a bucket that share one row of a term and weight.
-BLOCK = 1024
+#: Draws of a text of n words count up to a = REACH / n. The least is above that with a probability of exp(-REACH), 2e-16;
+#: the job then fails instead of giving another sample.
+REACH = 36.0
 _STEP = float(1 << 21)
 _HALF = float(1 << 32)
 
@@ -47,35 +46,54 @@ def _uniform(h: Column, at: int) -> Column:
     return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / _STEP
 
 
-def with_draws(terms: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """The columns in ``keep`` and s0, s1, ...: for sample number ``at`` + k one long whose minimum over a text's
-    terms is the sample: the order key ln a in the upper half, in steps of 2**-24, bits of a hash of (term, k)
-    and of t in the lower. Null where ``lw``, the logarithm of the weight, is null.
+def _hashes(term: Column, k: Column) -> tuple[Column, Column]:
+    return F.xxhash64(term, k), F.xxhash64(term, -1 - k)
 
-    Steps are projections of their own, so that none is worked out twice. The last one names the
-    partition (times 0): Spark puts off what it may, here until after the rows are dealt to texts,
-    and draws would be made anew for each; what depends on the partition it works out at once.
+
+def _gammas(h: Column, g: Column) -> tuple[Column, Column, Column]:
+    """What r and c are the negative logarithms of, and b."""
+    word = lambda at: (F.shiftrightunsigned(g, at).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / _HALF
+    return _uniform(h, 0) * _uniform(h, 21), word(0) * word(32), _uniform(h, 42)
+
+
+def _order(q: Column, p: Column, b: Column, lw: Column) -> tuple[Column, Column]:
+    """ln a, and t, of a draw."""
+    r = -F.ln(q)
+    t = F.floor(lw / r + b)
+    return F.ln(-F.ln(p)) - r * (t - b + 1.0), t
+
+
+def _sample(h: Column, y: Column, t: Column) -> Column:
+    """One long whose minimum over a text's terms is the sample: the order key ln a in the upper half, in steps of
+    2**-24, bits of a hash of (term, k) and of t in the lower."""
+    up = F.floor((F.least(F.greatest(y, F.lit(-63.9)), F.lit(63.9)) + 64.0) * float(1 << 24)) - (1 << 30)
+    low = (h.bitwiseAND(F.lit((1 << 62) - 1)) + t * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(up, 32).bitwiseOR(low)
+
+
+def with_draws(terms: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` and s: the draws of a term (column ``at`` numbers them) with a <= ``most``, whose logarithm
+    is ``edge``; ``lw`` is that of ``weight``, and rows where it is null stay, once, with a null.
+
+    Most draws are told to be above ``most`` without a logarithm: -ln p >= 4 (1 - p**(1/4)), and exp(-r (1 - b)) is a
+    weighted geometric mean of q = exp(-r) and 1, at least their harmonic one (taken of fourth roots); for weights above
+    1, a >= -ln p q / w. Steps whose columns are used more than once name the partition (times 0), so that Spark does
+    not work them out anew at each use.
     """
-    step = lambda df, over, make: df.select(
-        *keep, *over, *[c.alias(f"{name}{k}") for k in range(width) for name, c in make(k).items()]
-    )
-    x = lambda name, k: F.col(f"{name}{k}")
-    word = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / _HALF
-    number = lambda k: F.col("at") + k
-    hashed = step(terms, ["lw"], lambda k: {"h": F.xxhash64("term", number(k)), "g": F.xxhash64("term", -1 - number(k))})
-    gammas = step(
-        hashed, ["lw"],
-        lambda k: {
-            "h": x("h", k), "c": F.ln(-F.ln(word(x("g", k), 0) * word(x("g", k), 32))),
-            "r": -F.ln(_uniform(x("h", k), 0) * _uniform(x("h", k), 21)), "b": _uniform(x("h", k), 42),
-        },
-    )
-    floors = step(gammas, [], lambda k: {n: x(n, k) for n in "hcrb"} | {"t": F.floor(F.col("lw") / x("r", k) + x("b", k))})
-    keys = step(floors, [], lambda k: {"h": x("h", k), "t": x("t", k), "y": x("c", k) - x("r", k) * (x("t", k) - x("b", k) + 1.0)})
-    up = lambda k: F.floor((F.least(F.greatest(x("y", k), F.lit(-63.9)), F.lit(63.9)) + 64.0) * float(1 << 24)) - (1 << 30)
-    low = lambda k: (x("h", k).bitwiseAND(F.lit((1 << 62) - 1)) + x("t", k) * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFFFF))
-    now = F.spark_partition_id().cast("long") * 0
-    return step(keys, [], lambda k: {"s": F.shiftleft(up(k), 32).bitwiseOR(low(k)) + now})
+    now = F.spark_partition_id() * 0
+    of = ["weight", "lw", "most", "edge"]
+    hashed = terms.select(*keep, *of, *[(c + now).alias(n) for n, c in zip("hg", _hashes(F.col("term"), F.col("at")), strict=True)])
+    drawn = hashed.select(*keep, *of, "h", *[(c + now).alias(n) for n, c in zip("qpb", _gammas(F.col("h"), F.col("g")), strict=True)])
+    root = lambda c: F.sqrt(F.sqrt(F.col(c)))
+    mean = (1.0 - F.col("b")) / root("q") + F.col("b")
+    above = F.when(F.col("lw") == 0.0, mean * mean * mean * mean).otherwise(F.col("weight") / F.col("q"))
+    rough = F.col("weight") / F.col("q")  # no less than the other, and cheaper
+    most = F.col("most") * 1.000001
+    few = (1.0 - F.col("p") <= most * rough) & (4.0 * (1.0 - root("p")) <= most * above)
+    near = drawn.filter((F.col("lw").isNull() & (F.col("at") == 0)) | few)
+    y, t = _order(*map(F.col, "qpb"), F.col("lw"))
+    keys = near.select(*keep, "lw", "edge", "h", (y + now).alias("y"), (t + now).alias("t"))
+    return keys.filter(F.col("lw").isNull() | (F.col("y") <= F.col("edge"))).select(*keep, _sample(*map(F.col, "hyt")).alias("s"))
 
 
 def by_neighbours(docs: DataFrame) -> DataFrame:
@@ -83,11 +101,10 @@ def by_neighbours(docs: DataFrame) -> DataFrame:
 
     ``bucket`` and ``ghost`` say where a row lies and whether it is the copy of the next
     bucket's first row, which has its own text but no next one. Borders and first rows
-    of the buckets (four to a shuffle partition) are tables of one row.
+    of the buckets (four to a shuffle partition) are literals, so that plans of one shuffle are equal and Spark reuses it.
     """
-    spark = docs.sparkSession
-    one = lambda values: spark.createDataFrame([(values,)], "v array<bigint>").scalar()
-    n = shuffle_partitions(spark)
+    one = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    n = shuffle_partitions(docs.sparkSession)
     buckets = 4 * n  # several to a partition, so that partitions even out
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ids = keyed.select("doc_id")
@@ -134,7 +151,6 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    width = next(w for w in range(WIDTH, 0, -1) if samples % w == 0)
     order = Window.partitionBy("bucket").orderBy("wrap", "ghost", "doc_id", "text")
     rows = (
         by_neighbours(docs)
@@ -146,50 +162,46 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.struct(F.lit(1).alias("kind"), edited(F.col("text"), F.col("next_text")).alias("body")),
     )
     versions = F.when(F.col("ghost"), F.slice(both, 1, 1)).otherwise(both)
-    bodies = rows.select("bucket", "place", F.explode(versions).alias("_v")).select("bucket", "place", "_v.kind", "_v.body")
-    terms = bodies.select("bucket", "place", "kind", F.explode(F.split("body", GAPS)).alias("word"))
+    bodies = rows.select("bucket", "place", F.explode(versions).alias("_v")).select("bucket", "place", "_v.kind", F.split("_v.body", GAPS).alias("words"))
+    # The text's words, two less for the empty ones at its ends: less only makes the limit of its draws wider.
+    sized = bodies.select("bucket", "place", "kind", "words", F.greatest(F.size("words") - 2, F.lit(1)).alias("total"))
+    terms = sized.select("bucket", "place", "kind", "total", F.explode("words").alias("word"))
     # An empty word stands for "no word here": it keeps the row and has no weight.
     term = F.when(F.col("word") != "", F.xxhash64("word"))
     times = lambda kind: F.count(F.when(F.col("kind") == kind, F.lit(1)))
-    counted = terms.groupBy("bucket", "place", term.alias("term")).agg(times(0).alias("w0"), times(1).alias("w1"))
+    counted = terms.groupBy("bucket", "place", term.alias("term")).agg(times(0).alias("w0"), times(1).alias("w1"), F.min("total").alias("total"))
     # Sides: 1 the text, 2 the edited text, 3 both alike.
     entry = lambda w, side: F.struct(F.col(w).alias("weight"), F.lit(side).alias("side"))
     entries = F.when(F.col("w0") == F.col("w1"), F.array(entry("w0", 3))).otherwise(F.filter(F.array(entry("w0", 1), entry("w1", 2)), lambda e: e["weight"] > 0))
-    weighed = counted.select("bucket", "place", "term", F.explode(entries).alias("_e")).select("bucket", "place", "term", "_e.*")
-    shared = weighed.groupBy("bucket", "term", "weight", F.floor(F.col("place") / BLOCK).alias("block")).agg(
-        F.collect_list(F.col("place") * 4 + F.col("side")).alias("slots")  # at most 2 * BLOCK numbers
-    )
-    lw = F.when(F.col("term").isNotNull(), F.ln(F.col("weight").cast("double"))).alias("lw")
-    logs = shared.select("bucket", "term", "slots", lw, F.explode(F.array(*map(F.lit, range(0, samples, width)))).alias("at"))
-    drawn = with_draws(logs, ["bucket", "at", "slots"], width)
-    dealt = drawn.select("bucket", "at", F.explode("slots").alias("slot"), *[f"s{k}" for k in range(width)])
-    sampled = dealt.groupBy("bucket", "slot", "at").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(width)])
-    both_sides = F.explode(F.when(F.col("slot") % 4 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array((F.col("slot") % 4).cast("int"))))
-    merged = (
-        sampled.select("bucket", F.shiftright("slot", 2).alias("place"), both_sides.alias("side"), "at", *[f"s{k}" for k in range(width)])
-        .groupBy("bucket", "place", "side", "at")
-        .agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(width)])
-    )
-    low = F.array(*[F.coalesce(F.shiftright(F.shiftleft(F.col(f"s{k}"), 32), 32), F.lit(0)).cast("int") for k in range(width)])
-    prints = merged.select("bucket", "place", "side", "at", low.alias("print"))
-    whole = lambda side: F.concat(
-        *[F.first(F.when((F.col("side") == side) & (F.col("at") == at), F.col("print")), ignorenulls=True) for at in range(0, samples, width)]
-    )
-    side = prints.groupBy("bucket", "place").agg(
-        whole(1).alias("own"),
-        whole(2).alias("changed"),
+    weighed = counted.select("bucket", "place", "term", "total", F.explode(entries).alias("_e"))
+    now = F.spark_partition_id() * 0  # else Spark takes the logarithms behind the explode, once for each draw
+    lw = F.when(F.col("term").isNotNull(), F.ln(F.col("_e.weight").cast("double")) + now)
+    most = REACH / F.col("total")
+    logs = weighed.select(
+        "bucket", "place", "term", F.col("_e.side").alias("side"), F.col("_e.weight").alias("weight"), lw.alias("lw"), (most + now).alias("most"), (F.ln(most) + now).alias("edge")
     )
-    side = side.withColumn("following", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).filter("changed is not null")
+    drawn = with_draws(logs.select("*", F.explode(F.array(*map(F.lit, range(samples)))).alias("at")), ["bucket", "place", "side", "at"])
+    least = lambda side: F.min(F.when(F.col("side").isin(side, 3), F.col("s")))
+    sampled = drawn.groupBy("bucket", "place", "at").agg(least(1).alias("own"), least(2).alias("changed"))
+    # A sample with its number above it, so that sorted longs are the fingerprint; nulls are not collected.
+    numbered = lambda c: F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))
+    listed = sampled.groupBy("bucket", "place").agg(numbered("own").alias("own"), numbered("changed").alias("changed"))
+    lower = lambda c: F.transform(F.sort_array(c), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    lost = F.raise_error(F.lit("a text has no draw within REACH; raise it"))
+    whole = lambda c: F.when(F.size(c) == samples, lower(c)).when(F.size(c) == 0, F.array_repeat(F.lit(0), samples)).otherwise(lost)
+    side = listed.select(F.col("bucket").alias("_b"), F.col("place").alias("_p"), *[whole(c).alias(c) for c in ("own", "changed")])
+    side = side.withColumn("following", F.lead("own").over(Window.partitionBy("_b").orderBy("_p")))
     facts = rows.filter(~F.col("ghost")).select(
-        F.col("bucket").alias("_b"),
-        F.col("place").alias("_p"),
+        "bucket",
+        "place",
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode(edited(F.col("text"), F.col("next_text")), "UTF-8"), 256).alias("edited_sha256"),
     )
-    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    beside = facts.join(side, (F.col("_b") == F.col("bucket")) & (F.col("_p") == F.col("place")))
+    shown = lambda c: F.translate(F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""), "ABCDEF", "abcdef")
     alike = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / float(samples)
-    return facts.join(side, (F.col("_b") == F.col("bucket")) & (F.col("_p") == F.col("place"))).select(
+    return beside.select(
         "doc_id",
         "n_chars",
         "edited_sha256",

@@ -46,3 +46,17 @@ def test_draws(spark):
         assert len(got) == sampling.SAMPLES
         # The order key is kept in steps of 2**-24; a tie within one may fall the other way.
         assert sum(a != b for a, b in zip(want, got, strict=True)) <= 1
+
+
+def test_most_draws_take_no_logarithm(spark):
+    """Of a text of 1,000 words few draws are left, the least of each sample among them."""
+    terms = {spark_hash(f"w{i}".encode()): 1 + (i % 7 == 0) for i in range(875)}
+    signed = lambda t: t - (1 << 64) if t >> 63 else t
+    most = sampling.REACH / sum(terms.values())
+    rows = [(signed(t), n, math.log(n), most, math.log(most), k) for t, n in terms.items() for k in range(16)]
+    table = spark.createDataFrame(rows, "term long, weight int, lw double, most double, edge double, at int")
+    left = sampling.with_draws(table, ["at"]).collect()
+    assert len(left) < len(rows) / 8
+    least = {k: min(r.s for r in left if r.at == k) & LOW for k in range(16)}
+    want = {k: min(draw(t, n, k) for t, n in terms.items())[1] for k in range(16)}
+    assert sum(least[k] != want[k] for k in want) <= 1
