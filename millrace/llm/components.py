@@ -49,7 +49,8 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
         if not before[0]:
             break
         heavy = max(64, 2 * before[0] // shuffle_partitions(edges.sparkSession))  # both ways there are 2 * before[0] rows
-        now = stored(_small_star(_large_star(now, heavy), heavy), tag)
+        # The small star reads its edges five times; were the large one not stored, its whole plan would stand there as often.
+        now = stored(_small_star(stored(_large_star(now, heavy), tag), heavy), tag)
         after = mark(now)
         if tuple(after) == tuple(before):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -190,3 +190,20 @@ def test_a_chunk_without_repeats(spark):
     docs = spark.createDataFrame(rows, awkward.SCHEMA).repartition(3)
     got = suffix_arrays.repeated_byte_digests(docs, 100, 20, chunk_bytes=200).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(docs.collect(), 100)
+
+
+def test_plans_of_rounds_stay_small(spark, monkeypatch):
+    """No stored step of the components contains the plan of the step before it several times."""
+    from millrace.llm import components as stars
+
+    joins, write = [], stars.stored
+
+    def counted(df, tag):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, tag)
+
+    monkeypatch.setattr(stars, "stored", counted)
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
+    got = {r.node: r.root for r in stars.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    assert max(joins) <= 4
