@@ -27,9 +27,13 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), 0)
 
 
+#: Unicode white space, what (?U)\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Trims all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trims all Unicode white space; looks at the ends only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def norm_ws(c: Column) -> Column:

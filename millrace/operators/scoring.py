@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace import rules
 from millrace.functions import patterns as P
 from millrace.functions.keys import fingerprint
-from millrace.functions.text import strip, text_or_empty
+from millrace.functions.text import once, strip, text_or_empty
 from millrace.schemas import CLASSIFICATION
 
 LABELS = [f.split()[0] for f in CLASSIFICATION.split(", ")]
@@ -64,7 +64,8 @@ def rule_classifier(df: DataFrame, skills: Sequence[str] = tuple(rules.SKILLS))
         .when(P.hit(title, P.FLAGS + rules.NEW_GRAD_TITLE), "new_grad").when(P.hit(title, P.FLAGS + r"\bjunior\b"), "junior").otherwise("unclear")
     )
     years = F.try_to_number(F.nullif(F.regexp_extract(text, P.FLAGS + rules.YEARS, 1), F.lit("")), F.lit("99"))
-    found = F.filter(F.array(*map(F.lit, skills)), lambda s: F.contains(F.lower(text), F.lower(s))) if skills else F.array().cast("array<string>")
+    named = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lower(F.lit(s))), F.lit(s)) for s in skills]))
+    found = once(F.lower(text), named) if skills else F.array().cast("array<string>")
     return (
         df.withColumn("role_family", family)
         .withColumn("seniority", seniority)

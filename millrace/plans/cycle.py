@@ -1,4 +1,4 @@
-"""One pipeline cycle as one lazy plan: postings -> dedupe -> filters -> new -> gate -> classify -> score."""
+"""One pipeline cycle: postings -> dedupe -> filters -> new -> gate, stored once, then classify -> score as a lazy plan."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from millrace.operators.joins import new_postings, with_fingerprint
 from millrace.operators.ordered import dedupe, first_by
 from millrace.operators.scoring import Scoring, classify, gated_rows_output, score, verdict_row
 from millrace.schemas import MATCH
+from millrace.session import stored
 from millrace.sources.normalize import fill_multi_location
 
 
@@ -45,8 +46,10 @@ def cycle(
     postings: DataFrame, seen: DataFrame, stamp: str, options: CycleOptions = CycleOptions(), labels: DataFrame | None = None,
     classifier: Callable[[DataFrame], DataFrame] | None = None, weights: Scoring = Scoring(), details: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Match rows, and the fingerprints decided (scored or gated): postings without a label stay undecided."""
-    left = survivors(postings, seen, options, details)
+    """Match rows, and the fingerprints decided (scored or gated): postings without a label stay undecided.
+
+    The survivors are stored, since scored rows, rejected rows and fingerprints all come from them."""
+    left = stored(survivors(postings, seen, options, details), "cycle-left")
     judged = score(classify(left.filter("gate is null"), labels, classifier), weights)
     rows = verdict_row(judged if options.all_rows else judged.filter("suitable"), stamp).select(*MATCH)
     rejected = gated_rows_output(left, stamp)
