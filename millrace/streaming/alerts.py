@@ -17,6 +17,7 @@ from millrace.operators.filters import is_new_grad, location_prefilter, unexpire
 from millrace.operators.joins import fresh_fast_lane, with_fingerprint
 from millrace.operators.ordered import first_by
 from millrace.plans.cycle import CycleOptions, cycle
+from millrace.session import shuffle_partitions
 from millrace.sources.normalize import fill_multi_location
 from millrace.sources.sinks import append_matches
 
@@ -54,9 +55,10 @@ def seen_of(keys: DataFrame, path: str, column: str, name: str, also: str = "")
 
 
 def append_seen_batch(rows: DataFrame, path: str, column: str, name: str) -> None:
-    """S3 of a micro-batch: its keys under its name, by buckets; written again, they replace themselves."""
+    """S3 of a micro-batch: its keys under its name, by buckets; written again, they replace themselves. The number of
+    partitions is given, else Spark joins these small rows to one task, which then writes all the buckets' files."""
     keyed = rows.withColumn("bucket", _bucket(F.col(column)))
-    keyed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={name}")
+    keyed.repartition(shuffle_partitions(rows.sparkSession), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={name}")
 
 
 def stream_new_postings(stream: DataFrame, seen_path: str, matches_path: str, checkpoint: str, options: CycleOptions = CycleOptions(), stamp: Callable[[], str] | None = None) -> StreamingQuery:

@@ -53,6 +53,12 @@ def test_a_batch_reads_only_its_buckets(spark, tmp_path):
     assert alerts.seen_of(keys, f"{tmp_path}/none", "fp", "a-0").count() == 0
 
 
+def test_buckets_are_written_by_several_tasks(spark, tmp_path):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)], "fp string")
+    alerts.append_seen_batch(keys, f"{tmp_path}/seen", "fp", "a-0")
+    assert len({p.name.split("-")[1] for p in (tmp_path / "seen").rglob("part-*.parquet")}) > 1
+
+
 def test_fast_lane_places(spark, tmp_path):
     """Places come from the detail record where a posting only had a count; unfit ones and repeats are not delivered."""
     schema = POSTING + ", detail_url string"
