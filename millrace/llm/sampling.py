@@ -138,6 +138,7 @@ def by_neighbours(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", "bucket", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("_to"))
         .select("doc_id", "text", F.col("_to.bucket").alias("_b"), F.col("_to.ghost").alias("ghost"), wrap.alias("wrap"))
         .withColumnRenamed("_b", "bucket")
+        .filter("bucket is not null")  # always so; a join would put it into one of two plans of this shuffle, which then are not one
         .repartition(n, "bucket")
     )
 

@@ -60,3 +60,14 @@ def test_most_draws_take_no_logarithm(spark):
     least = {k: min(r.s for r in left if r.at == k) & LOW for k in range(16)}
     want = {k: min(draw(t, n, k) for t, n in terms.items())[1] for k in range(16)}
     assert sum(least[k] != want[k] for k in want) <= 1
+
+
+def test_texts_are_shuffled_once(spark, sf_dir):
+    """Both uses of the neighbours are of one plan, so that Spark makes one shuffle of the texts."""
+    from millrace.llm.sampling import fingerprints
+
+    out = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("REPARTITION_BY_NUM") - final.count("ReusedExchange") <= 1 and "ReusedExchange" in final
