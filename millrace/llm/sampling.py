@@ -84,13 +84,14 @@ def with_draws(terms: DataFrame, keep: list[str]) -> DataFrame:
     of = ["weight", "lw", "most", "edge"]
     hashed = terms.select(*keep, *of, *[(c + now).alias(n) for n, c in zip("hg", _hashes(F.col("term"), F.col("at")), strict=True)])
     drawn = hashed.select(*keep, *of, "h", *[(c + now).alias(n) for n, c in zip("qpb", _gammas(F.col("h"), F.col("g")), strict=True)])
-    root = lambda c: F.sqrt(F.sqrt(F.col(c)))
-    mean = (1.0 - F.col("b")) / root("q") + F.col("b")
-    above = F.when(F.col("lw") == 0.0, mean * mean * mean * mean).otherwise(F.col("weight") / F.col("q"))
-    rough = F.col("weight") / F.col("q")  # no less than the other, and cheaper
+    root = lambda c: F.sqrt(F.sqrt(c))
     most = F.col("most") * 1.000001
-    few = (1.0 - F.col("p") <= most * rough) & (4.0 * (1.0 - root("p")) <= most * above)
-    near = drawn.filter((F.col("lw").isNull() & (F.col("at") == 0)) | few)
+    alone = F.col("lw").isNull() & (F.col("at") == 0)
+    # First the looser and cheaper bound, a >= (1 - p) q / w; the roots are taken once, of what it leaves.
+    rough = drawn.filter(alone | ((1.0 - F.col("p")) * F.col("q") <= most * F.col("weight")))
+    mean = F.when(F.col("lw") == 0.0, (1.0 - F.col("b")) / root(F.col("q")) + F.col("b")).otherwise(root(F.col("weight") / F.col("q")))
+    rooted = rough.select(*keep, *of, *"hqpb", (mean + now).alias("m"), (4.0 * (1.0 - root(F.col("p"))) + now).alias("c"))
+    near = rooted.filter(alone | (F.col("c") <= most * F.col("m") * F.col("m") * F.col("m") * F.col("m")))
     y, t = _order(*map(F.col, "qpb"), F.col("lw"))
     keys = near.select(*keep, "lw", "edge", "h", (y + now).alias("y"), (t + now).alias("t"))
     return keys.filter(F.col("lw").isNull() | (F.col("y") <= F.col("edge"))).select(*keep, _sample(*map(F.col, "hyt")).alias("s"))
@@ -166,7 +167,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     bodies = rows.select("bucket", "place", F.explode(versions).alias("_v")).select("bucket", "place", "_v.kind", F.split("_v.body", GAPS).alias("words"))
     # The text's words, two less for the empty ones at its ends: less only makes the limit of its draws wider.
     sized = bodies.select("bucket", "place", "kind", "words", F.greatest(F.size("words") - 2, F.lit(1)).alias("total"))
-    terms = sized.select("bucket", "place", "kind", "total", F.explode("words").alias("word"))
+    # There is always a word. For explode Spark would filter by size(words) below the split, and split each text for that once more.
+    terms = sized.select("bucket", "place", "kind", "total", F.explode_outer("words").alias("word"))
     # An empty word stands for "no word here": it keeps the row and has no weight.
     term = F.when(F.col("word") != "", F.xxhash64("word"))
     times = lambda kind: F.count(F.when(F.col("kind") == kind, F.lit(1)))

@@ -71,3 +71,11 @@ def test_texts_are_shuffled_once(spark, sf_dir):
     plan = out._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("REPARTITION_BY_NUM") - final.count("ReusedExchange") <= 1 and "ReusedExchange" in final
+
+
+def test_texts_are_split_once(spark):
+    """No filter below the explode of words splits each text again."""
+    out = sampling.fingerprints(awkward.frame(spark, 30).filter("doc_id < 60"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
