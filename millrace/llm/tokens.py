@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import arrays
-from millrace.session import scratch, shuffle_partitions, stored
+from millrace.session import arrow_rows, scratch, shuffle_partitions, stored
 
 MAGIC = b"MRTOK1\0\0"
 #: Fixed value: how a byte-level tokenizer splits a text before it merges.
@@ -87,6 +87,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_words = splits_at_words(json.loads(self.tokenizer.to_str()))
+        arrays.release()  # what its vocabulary took as text and as Python objects
         self.most = most
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.forget()
@@ -174,6 +175,8 @@ def encoder(path: str) -> Encoder:
 #: Bytes of text encoded at once. Arrays of 64-bit numbers for each byte stand beside them, several at a time, in every worker of
 #: an executor.
 PIECE = 1 << 18
+#: Rows that Spark hands to a worker at once; a batch stands in memory on both sides, several times.
+BATCH_ROWS = 500
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -407,7 +410,8 @@ def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
             )
             place += int(cut[-1])
 
-    first = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema), f"{tag}-ids")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        first = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema), f"{tag}-ids")
     totals = first.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), f"{tag}-offsets")
